@@ -1 +1,71 @@
-"""Queries (filled in below)."""
+"""Streaming queries: each runs a Structured Streaming job to completion
+(availableNow trigger) over the events file stream and returns its sink as
+a batch DataFrame.  Where the stream must equal a batch operator, the batch
+oracle is reused."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from visiflow.operators.windows import valid_lag_features
+from visiflow.plans.catalog import ORACLES, register
+from visiflow.plans.q_state import latest_per_zone  # noqa: F401  (registers the batch twin first)
+from visiflow.plans.q_windows import valid_lag_features_q  # noqa: F401
+from visiflow.plans.scoring import fit_linear_nowcast
+from visiflow.session import ensure_checkpoint_dir
+from visiflow.sources.readings import readings_from_events
+from visiflow.streaming.jobs import (readings_stream, run_dir, run_scoring_stream, stream_bins, stream_latest,
+                                     stream_state, write_parquet_stream)
+
+
+def r4(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 4)
+
+
+@register("stream_bins")
+def stream_bins_q(spark, sf_dir):
+    """T1 + T6: watermarked 10-minute means per zone as a stream (open bins at the end stay open)."""
+    ensure_checkpoint_dir(spark)
+    base = run_dir(spark, "bins")
+    q = write_parquet_stream(stream_bins(readings_stream(spark, sf_dir)), f"{base}/out", f"{base}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("ts", "zone", r4("rvr").alias("rvr"), "n_readings")
+
+
+@register("stream_valid_lags", ORACLES["valid_lag_features"])
+def stream_valid_lags(spark, sf_dir):
+    """Keyed streaming state of the last four valid readings; equals the batch valid-lag table."""
+    ensure_checkpoint_dir(spark)
+    base = run_dir(spark, "state")
+    q = write_parquet_stream(stream_state(readings_stream(spark, sf_dir)), f"{base}/out", f"{base}/_checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out").filter(~F.col("late"))
+    return out.select("ts", "zone", r4("rvr").alias("rvr"), *[r4(f"lag_{k}").alias(f"lag_{k}") for k in (1, 2, 3)],
+                      "ready")
+
+
+@register("stream_latest", ORACLES["latest_per_zone"])
+def stream_latest_q(spark, sf_dir):
+    """Newest reading per zone maintained by a streaming aggregation (complete mode, overwrite sink)."""
+    ensure_checkpoint_dir(spark)
+    base = run_dir(spark, "latest")
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    q = (stream_latest(readings_stream(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("zone", "ts", r4("rvr").alias("rvr"))
+
+
+@register("stream_nowcast")
+def stream_nowcast(spark, sf_dir):
+    """Live state -> nowcast with fallback per micro-batch -> history (append) + latest (replace)."""
+    ensure_checkpoint_dir(spark)
+    base = run_dir(spark, "nowcast")
+    coefs = fit_linear_nowcast(valid_lag_features(readings_from_events(spark, sf_dir)))
+    q = run_scoring_stream(spark, readings_stream(spark, sf_dir), coefs, base)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/history/data").select("zone", "ts", r4("value").alias("value"), "source",
+                                                            "batch_id")
