@@ -142,12 +142,17 @@ def weather_from_frame(df: DataFrame, runway_col: str = "runway",
 
 def read_weather(spark: SparkSession, path: str, fmt: str = "csv",
                  ts_format: str = "dd/MM/yyyy HH:mm:ss") -> DataFrame:
-    """Weather files named ``RUNWAYnn_<year>.<ext>``; the runway comes from the file name."""
-    reader = spark.read
+    """Weather files named ``<runway>_<year>.<ext>`` (or folders of that name).
+
+    The runway comes from the file or folder name; all files below ``path``
+    are read.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
     if fmt == "csv":
         reader = reader.option("header", "true")
     raw = reader.format(fmt).load(path)
-    raw = raw.withColumn("runway", F.regexp_extract(F.col("_metadata.file_name"), r"^(RUNWAY[^_]+)", 1))
+    runway = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/_]+)_\d{4}[^/]*(/[^/]*)?$", 1)
+    raw = raw.withColumn("runway", runway)
     return weather_from_frame(raw, "runway", ts_format)
 
 
