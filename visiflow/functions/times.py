@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from visiflow import config as C
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _col(c) -> Column:
@@ -34,11 +37,11 @@ def parse_date_time(date_col, time_col, fmt: str = "dd/MM/yyyy HH:mm:ss") -> Col
 
 def epoch_us(c) -> Column:
     """Microseconds since 1970-01-01 of a naive timestamp (time-zone free)."""
-    return F.timestamp_diff("MICROSECOND", EPOCH, _col(c).cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", _epoch(), _col(c).cast("timestamp_ntz"))
 
 
 def from_epoch_us(c) -> Column:
-    return F.timestamp_add("MICROSECOND", _col(c), EPOCH)
+    return F.timestamp_add("MICROSECOND", _col(c), _epoch())
 
 
 def floor_minutes(c, minutes: int = C.BIN_MINUTES) -> Column:

@@ -65,7 +65,8 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     wc = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
     d = d.join(offs, [*keys, "_chunk"])
-    return d.withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_chunk", "_rn", "_off")
+    return d.select(*[F.col(f"`{c}`") for c in df.columns],
+                    (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(name))
 
 
 def position_axis(df: DataFrame, ts_col: str = "ts", name: str = "pos",
