@@ -84,3 +84,17 @@ def test_sinks_and_newest_file(spark, tmpdir_path):
 def test_medium_band_counts_total(spark):
     out = E.queries()["status_band_counts"](spark, MEDIUM)
     assert out.agg(F.sum("n_bins")).first()[0] == 8016
+
+
+def test_start_from_and_write_range(spark, tmpdir_path):
+    from visiflow.plans.cleaning import start_from
+    from visiflow.sources.sinks import write_range
+    df = spark.createDataFrame([(r,) for r in ["RUNWAY09", "RUNWAY10", "RUNWAY11", "RUNWAY28"]], "runway string")
+    assert [r.runway for r in start_from(df, "runway", "RUNWAY11").orderBy("runway").collect()] == \
+        ["RUNWAY11", "RUNWAY28"]
+    assert start_from(df, "runway", "RUNWAY12").count() == 0
+    ev = spark.read.parquet(f"{SMALL}/events.parquet").select("ts", "value")
+    write_range(ev, f"{tmpdir_path}/range")
+    back = spark.read.option("header", "true").csv(f"{tmpdir_path}/range")
+    assert back.count() == ev.count()
+    assert back.filter(~F.col("ts").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$")).count() == 0

@@ -28,6 +28,15 @@ def clean_logs(spark: SparkSession, root: str, out: str | None = None, zones: li
     return bins.withColumn("year", F.year("ts"))
 
 
+def start_from(df: DataFrame, col: str, start: str) -> DataFrame:
+    """Rows whose ``col`` sorts at or after ``start`` — only if ``start`` itself occurs.
+
+    The existence test is an EXISTS subquery (one boolean), so no join runs.
+    """
+    exists = df.filter(F.col(col) == F.lit(start)).exists()
+    return df.filter((F.col(col) >= F.lit(start)) & exists)
+
+
 def required_columns_missing(df: DataFrame, required=C.WEATHER_CANONICAL) -> list[str]:
     """Required columns that the frame does not have (schema only)."""
     return [c for c in required if c not in df.columns]

@@ -224,3 +224,19 @@ def outliers_iqr(spark, sf_dir):
     """IQR outlier flags per zone (1.5 x IQR rule), counted."""
     o = iqr_outliers(_bins(spark, sf_dir), "rvr", ["zone"])
     return o.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.count_if("outlier").alias("n_outliers"))
+
+
+@register("ensemble_metrics", with_(RUNS_SQL) + """,
+ens AS (
+  SELECT p.zone, p.split, p.y, (p.lag_1 + m.m + p.pred) / 3.0 AS pred
+  FROM pred p JOIN mean_fit m USING (zone)
+)""" + metrics_sql("ens", "zone, split"))
+def ensemble_metrics(spark, sf_dir):
+    """Average of persistence, train-mean and AR(1) predictions, scored per zone and split."""
+    s = lagged_split(spark, sf_dir)
+    train = s.filter(F.col("split") == "train")
+    ar = fit_ar1(train, ["zone"], "y", "lag_1")
+    mean = train.groupBy("zone").agg(F.avg("y").alias("m"))
+    p = s.join(ar, "zone").join(mean, "zone").withColumn(
+        "pred", (F.col("lag_1") + F.col("m") + (F.col("ar_a") + F.col("ar_b") * F.col("lag_1"))) / 3.0)
+    return _round_metrics(regression_metrics(p, ["zone", "split"], "y", "pred"), ["zone", "split"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from visiflow import config as C
 from visiflow.functions.geo import EARTH_RADIUS_M
+from visiflow.functions.names import part_of_zone, runway_of_zone
 from visiflow.functions.times import floor_minutes
 from visiflow.plans.catalog import register
 from visiflow.plans.timeline import timeline_features, timeline_rows
@@ -67,3 +68,24 @@ def timeline_json_q(spark, sf_dir):
     """F9 + S15: GeoJSON-like feature per time and display zone over the whole prediction table."""
     rows = timeline_rows(predictions_from_events(spark, sf_dir), spark, None)
     return timeline_features(rows)
+
+
+@register("zone_parts", f"""
+WITH p AS (
+  SELECT list_value({", ".join(f"'{z}'" for z in ZONE_IDS)})[user_id % 11 + 1] AS zone_id FROM events
+)
+SELECT regexp_extract(zone_id, 'RWY[ _]?([0-9]{{2}})', 1) AS runway, regexp_extract(zone_id, '(BEG|TDZ|MID)', 1) AS part,
+  CAST(regexp_extract(zone_id, '(BEG|TDZ|MID)', 1) = 'BEG' AS INTEGER) AS is_beg,
+  CAST(regexp_extract(zone_id, '(BEG|TDZ|MID)', 1) = 'TDZ' AS INTEGER) AS is_tdz,
+  CAST(regexp_extract(zone_id, '(BEG|TDZ|MID)', 1) = 'MID' AS INTEGER) AS is_mid, count(*) AS n
+FROM p GROUP BY 1, 2, 3, 4, 5
+""")
+def zone_parts(spark, sf_dir):
+    """Runway number and zone part (BEG / TDZ / MID) of each prediction's zone id, one-hot, counted."""
+    e = table(spark, sf_dir, "events")
+    zid = F.element_at(F.array(*[F.lit(z) for z in ZONE_IDS]), (F.col("user_id") % 11 + 1).cast("int"))
+    z = e.select(zid.alias("zone_id"))
+    part = part_of_zone("zone_id")
+    out = z.select(runway_of_zone("zone_id").alias("runway"), part.alias("part"),
+                   *[(part == F.lit(x)).cast("int").alias(f"is_{x.lower()}") for x in ("BEG", "TDZ", "MID")])
+    return out.groupBy("runway", "part", "is_beg", "is_tdz", "is_mid").agg(F.count(F.lit(1)).alias("n"))
