@@ -98,3 +98,16 @@ def test_start_from_and_write_range(spark, tmpdir_path):
     back = spark.read.option("header", "true").csv(f"{tmpdir_path}/range")
     assert back.count() == ev.count()
     assert back.filter(~F.col("ts").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$")).count() == 0
+
+
+def test_year_partition_pruning(spark, tmpdir_path):
+    import datetime as dt
+    from visiflow.sources.readings import select_year
+    from visiflow.sources.sinks import write_yearly
+    rows = [(dt.datetime(y, 1, 1, 0, 0), "z", float(y)) for y in (2023, 2024) for _ in range(3)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, zone string, rvr double")
+    write_yearly(df, f"{tmpdir_path}/yearly")
+    back = select_year(spark.read.parquet(f"{tmpdir_path}/yearly"), 2024)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert back.count() == 3

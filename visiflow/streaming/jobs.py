@@ -62,11 +62,28 @@ def write_parquet_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "
             .outputMode(mode).trigger(availableNow=True).start())
 
 
+def _latest_version(spark: SparkSession, path: str) -> str | None:
+    """Newest committed version folder ``v=<batch id>`` of the latest table (a listing, no job)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    vs = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            vs.append(int(name[2:]))
+    return f"{path}/v={max(vs)}" if vs else None
+
+
 def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
     """T3 + T4: score each micro-batch, append history (by run date), replace the latest table.
 
-    A batch id that was already committed is skipped, so a replayed batch
-    after a failure writes nothing twice.
+    The latest table is the previous version (one row per zone) merged with
+    the batch's newest rows, so a batch never re-reads the history.  A batch
+    id that was already committed is skipped, so a replayed batch after a
+    failure writes nothing twice.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -78,11 +95,16 @@ def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
             return
         fresh = batch.filter(~F.col("late")).dropDuplicates(["zone", "ts"])
         scored = fallback_chain(linear_nowcast(fresh.withColumnRenamed("rvr", "current"), coefs))
-        scored = scored.withColumn("batch_id", F.lit(batch_id)).withColumn("run_date", F.to_date("ts"))
-        scored.write.mode("append").partitionBy("run_date").parquet(f"{history_path}/data")
-        hist = spark.read.parquet(f"{history_path}/data")
+        scored = scored.withColumn("run_date", F.to_date("ts"))
+        # one folder per batch id, overwritten on replay: history never holds a batch twice
+        (scored.write.mode("overwrite").partitionBy("run_date")
+         .parquet(f"{history_path}/data/batch_id={batch_id}"))
         s = F.max_by(F.struct("ts", "value", "source"), "ts")
-        latest = hist.groupBy("zone").agg(s.alias("s")).select("zone", "s.*")
+        cur = scored.select("zone", "ts", "value", "source")
+        prev = _latest_version(spark, latest_path)
+        if prev:
+            cur = cur.unionByName(spark.read.parquet(prev))
+        latest = cur.groupBy("zone").agg(s.alias("s")).select("zone", "s.*")
         latest.write.mode("overwrite").parquet(f"{latest_path}/v={batch_id}")
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(marker)
 
