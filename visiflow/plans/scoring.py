@@ -95,14 +95,24 @@ def range_backfill(bins: DataFrame, start, end, coefs: DataFrame | None = None,
 
 def latest_nowcast(bins: DataFrame, coefs: DataFrame | None = None, value: str = "rvr",
                    depth: int = C.STATE_DEPTH) -> DataFrame:
-    """One row per zone: nowcast from the newest state, with the fallback chain (M6 + M7 + J7)."""
+    """One row per zone: nowcast from the newest state, with the fallback chain (M6 + M7 + J7).
+
+    Without given coefficients, the fit and the newest state come out of a
+    single aggregation over the state table (regr_* skip rows without a lag).
+    """
     state = valid_lag_features(bins.select("ts", "zone", value), value, depth=depth)
-    coefs = coefs if coefs is not None else fit_linear_nowcast(state)
-    last = latest_per_key(state.select("zone", "ts", value, "lag_1", "ready"), ["zone"])
+    newest = F.max_by(F.struct("ts", F.col(value).alias("current"), "lag_1", "ready"), "ts").alias("_s")
+    if coefs is None:
+        last = state.groupBy("zone").agg(F.regr_intercept(F.col(value), F.col("lag_1")).alias("a"),
+                                         F.regr_slope(F.col(value), F.col("lag_1")).alias("b"), newest)
+    else:
+        last = state.groupBy("zone").agg(newest).join(coefs, "zone", "left")
+    last = last.select("zone", "_s.*", "a", "b")
     zones = bins.select("zone").distinct()
-    j = zones.join(last, "zone", "left").withColumnRenamed(value, "current")
-    j = j.withColumn("ready", F.coalesce(F.col("ready"), F.lit(False)))
-    return fallback_chain(linear_nowcast(j, coefs))
+    j = zones.join(last, "zone", "left").withColumn("ready", F.coalesce(F.col("ready"), F.lit(False)))
+    pred = F.when(F.col("ready") & F.col("a").isNotNull() & F.col("b").isNotNull(),
+                  F.col("a") + F.col("b") * F.col("lag_1"))
+    return fallback_chain(j.withColumn("predicted", pred).drop("a", "b"))
 
 
 def linear_ar_forecast(bins: DataFrame, coefs: DataFrame, hours: int = C.FORECAST_HOURS,
