@@ -111,3 +111,22 @@ def test_year_partition_pruning(spark, tmpdir_path):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     assert back.count() == 3
+
+
+def test_model_forecast_steps(spark):
+    from visiflow.operators.binning import bin_mean
+    from visiflow.plans import q_models
+    from visiflow.plans.features import FeatureSpec
+    from visiflow.plans.scoring import model_forecast
+    from visiflow.plans.training import fit_fixed, usable_features
+    from visiflow.sources.readings import readings_from_events
+    spec = FeatureSpec(kind="valid", n_other=0)
+    table, zones, spec = q_models._setup(spark, SMALL, spec)
+    feats = usable_features(table, spec)
+    models = {z: fit_fixed(table, z, feats[z], 3, 1).model for z in zones[:2]}
+    assert all(feats[z] == spec.columns() for z in models)
+    bins = bin_mean(readings_from_events(spark, SMALL)).select("ts", "zone", "rvr")
+    out = model_forecast(bins.filter(F.col("zone").isin(list(models))), models, spec, steps=2)
+    rows = out.collect()
+    assert len(rows) == 2 * len(models)
+    assert all(r.rvr is not None for r in rows)

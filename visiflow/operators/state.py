@@ -72,3 +72,18 @@ def min_sample_gate(df: DataFrame, keys: Sequence[str] = ("zone",), minimum: int
     keys = list(keys)
     ok = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select(*keys)
     return df.join(ok, keys, "left_semi")
+
+
+def column_samples(df: DataFrame, cols: Sequence[str], n: int = 5, order: str = "ts") -> DataFrame:
+    """The first ``n`` non-null values of every column in time order (column, ts, value).
+
+    Each column is a top-n (``orderBy(...).limit(n)``: every task keeps its
+    own n rows, then one merge), so the sample never gathers a column.
+    """
+    parts = [df.filter(F.col(f"`{c}`").isNotNull()).orderBy(order, F.col(f"`{c}`"))
+             .limit(n).select(F.lit(c).alias("column"), order, F.col(f"`{c}`").cast("double").alias("value"))
+             for c in cols]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from visiflow.operators.binning import bin_mean, pivot_zones
 from visiflow.operators.index import with_positions
-from visiflow.operators.state import (horizon, last_valid_in_tail, latest_per_key, min_sample_gate, profile,
+from visiflow.operators.state import (column_samples, horizon, last_valid_in_tail, latest_per_key, min_sample_gate, profile,
                                       readiness)
 from visiflow.operators.windows import lag_features
 from visiflow.plans.catalog import register
@@ -111,3 +111,19 @@ def grid_cells_positions(spark, sf_dir):
     cells = with_positions(_bins(spark, sf_dir))
     return cells.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"),
                                      F.min("ts").alias("first_ts"))
+
+
+@register("profile_samples", with_(BINS) + """,
+wide AS (
+  SELECT ts, max(CASE WHEN zone = 'click' THEN rvr END) AS click, max(CASE WHEN zone = 'error' THEN rvr END) AS error,
+         max(CASE WHEN zone = 'purchase' THEN rvr END) AS purchase, max(CASE WHEN zone = 'signup' THEN rvr END) AS signup,
+         max(CASE WHEN zone = 'view' THEN rvr END) AS "view"
+  FROM bins GROUP BY ts
+)
+""" + "\nUNION ALL\n".join(
+    f"(SELECT '{z}' AS \"column\", ts, round(\"{z}\", 4) AS value FROM wide WHERE \"{z}\" IS NOT NULL "
+    f"ORDER BY ts, \"{z}\" LIMIT 5)" for z in ("click", "error", "purchase", "signup", "view")))
+def profile_samples(spark, sf_dir):
+    """First five non-null values of every zone column of the wide table (a top-n per column)."""
+    wide = pivot_zones(_bins(spark, sf_dir).withColumn("rvr", r4("rvr")), None)
+    return column_samples(wide, [c for c in wide.columns if c != "ts"], 5)

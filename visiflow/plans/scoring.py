@@ -147,6 +147,8 @@ def model_forecast(bins: DataFrame, models: Mapping[str, PipelineModel], spec: F
     per step, and its lineage is cut with a reliable ``checkpoint()`` every
     ``checkpoint_every`` steps.
     """
+    if spec.kind == "grid" and spec.include_current:
+        raise ValueError("forecast features must not include the current row (include_current=False)")
     # only the look-back the features need travels through the loop
     depth = max(list(spec.lags) + list(spec.windows)) + 1
     hist = last_n(bins.select("ts", "zone", value), depth, ["zone"]).drop("rank_from_end")
@@ -154,10 +156,12 @@ def model_forecast(bins: DataFrame, models: Mapping[str, PipelineModel], spec: F
     for s in range(steps):
         newest = latest_per_key(hist.select("zone", "ts"), ["zone"]).select(
             "zone", F.timestamp_add("MINUTE", F.lit(step_min), F.col("ts")).alias("next_ts"))
-        # features for the next time: append an empty bin and rebuild
-        nxt = newest.select(F.col("next_ts").alias("ts"), "zone", F.lit(None).cast("double").alias(value))
+        # the next time is appended with a valid placeholder value: features only
+        # look at earlier rows, so the placeholder never enters its own features
+        nxt = newest.select(F.col("next_ts").alias("ts"), "zone", F.lit(1.0).alias(value))
         feats = build_features(hist.unionByName(nxt), spec, value).join(
             newest.withColumnRenamed("next_ts", "ts"), ["zone", "ts"], "left_semi")
+        # a feature without any value at a forecast step (e.g. no other zone at that time) is 0
         feats = feats.na.fill(0.0, subset=spec.columns())
         scored = model_nowcast(feats, models).select("zone", "ts", F.col("predicted").alias(value))
         step = scored.withColumn("step", F.lit(s))
