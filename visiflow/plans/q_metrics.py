@@ -13,6 +13,7 @@ from visiflow.operators.prep import apply_scaler, exact_quantiles, fit_scaler, i
 from visiflow.operators.windows import grid_features, temporal_split
 from visiflow.plans.catalog import register
 from visiflow.plans.sql import BINS, CELLS, with_
+from visiflow.session import materialize
 from visiflow.sources.readings import readings_from_events
 
 
@@ -29,7 +30,8 @@ def lagged_split(spark, sf_dir):
     cells = with_positions(_bins(spark, sf_dir))
     f = grid_features(cells, lags=(1, 2, 3), strict_windows=())
     f = f.filter(F.col("lag_1").isNotNull()).withColumnRenamed("rvr", "y")
-    return temporal_split(f)
+    # read by the fits (train rows) and the scoring (test rows): materialised once
+    return materialize(temporal_split(f))
 
 
 SPLIT_SQL = CELLS + """,

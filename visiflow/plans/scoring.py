@@ -22,6 +22,7 @@ from visiflow.operators.joins import union_feeds
 from visiflow.operators.state import latest_per_key
 from visiflow.operators.windows import last_n, valid_lag_features
 from visiflow.plans.features import FeatureSpec, build_features
+from visiflow.session import materialize
 
 
 # ---------------------------------------------------------------------------
@@ -83,7 +84,9 @@ def range_backfill(bins: DataFrame, start, end, coefs: DataFrame | None = None,
     looser 'current' rule.
     """
     state = valid_lag_features(bins.select("ts", "zone", value), value, depth=depth)
-    coefs = coefs if coefs is not None else fit_linear_nowcast(state)
+    if coefs is None:
+        state = materialize(state)          # read by the fit and by the as-of join
+        coefs = fit_linear_nowcast(state)
     steps = bins.filter(F.col("ts").between(start, end)).select("ts", "zone", F.col(value).alias("raw"))
     st = state.select("zone", "ts", F.col(value).alias("v"), *[f"lag_{k}" for k in range(1, depth)], "ready")
     j = asof_join(steps, st, "ts", by=["zone"], tolerance_minutes=None, direction="backward", prefix="s_")

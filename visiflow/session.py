@@ -62,3 +62,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage of an intermediate used by several branches: a reliable checkpoint.
+
+    Written once to the shared checkpoint folder (survives executor loss),
+    then every consumer reads it instead of recomputing its plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
