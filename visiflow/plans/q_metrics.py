@@ -192,7 +192,7 @@ FROM xz JOIN med USING (zone)
 """)
 def impute_median_q(spark, sf_dir):
     """A8 + F4: exact per-zone median of every cross-zone feature fills its NULLs."""
-    x = cross_zone_features(_bins(spark, sf_dir), k=4)
+    x = materialize(cross_zone_features(_bins(spark, sf_dir), k=4))   # read by the median fit and the fill
     cols = [f"other_{i}" for i in range(1, 5)]
     out = impute_median(x, cols, ["zone"])
     return out.select("ts", "zone", *[r4(c).alias(c) for c in cols])
