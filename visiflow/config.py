@@ -120,6 +120,8 @@ PARAM_GRID = {
     "gamma": [0, 0.1, 0.2],
 }
 SEARCH_DRAWS = 50
+# Second training pipeline's fixed model (as-of weather features).
+PIPELINE_A_PARAMS = dict(n_estimators=200, learning_rate=0.05, max_depth=6, seed=42)
 FORECAST_STEP_MIN = 15
 FORECAST_HOURS = 24
 

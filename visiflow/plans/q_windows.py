@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from visiflow.functions.times import calendar_columns, cyclic_columns
-from visiflow.functions.weather import dew_point_spread, temp_humidity_ratio, wind_components
+from visiflow.functions.weather import dew_point_spread, relative_humidity, temp_humidity_ratio, wind_components
 from visiflow.operators.binning import bin_mean
 from visiflow.operators.index import position_axis, with_positions
 from visiflow.operators.windows import (cv_folds, grid_features, lag_features, last_n, temporal_split,
@@ -142,7 +142,9 @@ WITH w AS (
 )
 SELECT ts, runway, round(temperature / (humidity + 1e-6), 4) AS temp_humidity_ratio,
   round(temperature - dew_point, 4) AS dew_point_spread,
-  round(wind_speed * sin(radians(wind_dir)), 4) AS wind_u, round(wind_speed * cos(radians(wind_dir)), 4) AS wind_v
+  round(wind_speed * sin(radians(wind_dir)), 4) AS wind_u, round(wind_speed * cos(radians(wind_dir)), 4) AS wind_v,
+  round(100.0 * exp(17.625 * dew_point / (243.04 + dew_point)) / exp(17.625 * temperature / (243.04 + temperature)), 4)
+    AS rel_humidity
 FROM w
 """
 
@@ -160,12 +162,13 @@ def weather_from_events(spark, sf_dir):
 
 @register("weather_features", WEATHER_SQL)
 def weather_features(spark, sf_dir):
-    """F3 (+ D2): temperature/humidity ratio, dew-point spread and wind components."""
+    """F3 (+ D2, D3): temperature/humidity ratio, dew-point spread, wind components, relative humidity."""
     w = weather_from_events(spark, sf_dir)
     u, v = wind_components("wind_speed", "wind_dir")
     return w.select("ts", "runway", r4(temp_humidity_ratio("temperature", "humidity")).alias("temp_humidity_ratio"),
                     r4(dew_point_spread("temperature", "dew_point")).alias("dew_point_spread"),
-                    r4(u).alias("wind_u"), r4(v).alias("wind_v"))
+                    r4(u).alias("wind_u"), r4(v).alias("wind_v"),
+                    r4(relative_humidity("temperature", "dew_point")).alias("rel_humidity"))
 
 
 @register("temporal_split", with_(BINS) + """

@@ -93,6 +93,9 @@ def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
         fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(hpath):
             return
+        # rows too late to change emitted lags go to a side table instead of vanishing
+        (batch.filter(F.col("late")).write.mode("overwrite")
+         .parquet(f"{history_path}/late/batch_id={batch_id}"))
         fresh = batch.filter(~F.col("late")).dropDuplicates(["zone", "ts"])
         scored = fallback_chain(linear_nowcast(fresh.withColumnRenamed("rvr", "current"), coefs))
         scored = scored.withColumn("run_date", F.to_date("ts"))

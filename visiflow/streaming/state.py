@@ -39,10 +39,13 @@ def live_state(key, pdfs: Iterator[pd.DataFrame], state, depth: int = C.STATE_DE
         return
     t = pd.to_datetime(batch["ts"])
     batch = batch.assign(_us=(t.astype("int64") // 1000) if t.dt.unit == "ns" else t.astype("int64"))
-    batch = batch.sort_values(["_us", "rvr"], kind="mergesort")
+    # a reading seen again (same zone and time, e.g. a re-read file) does not enter the state twice
+    batch = batch.sort_values(["_us", "rvr"], kind="mergesort").drop_duplicates("_us", keep="first")
     out = []
     newest = ts_us[-1] if ts_us else None
     for us, v, ts in zip(batch["_us"].to_numpy(), batch["rvr"].to_numpy(), batch["ts"]):
+        if newest is not None and us == newest:
+            continue
         if newest is not None and us < newest:
             out.append((zone, ts, float(v), None, None, None, False, True))
             continue
