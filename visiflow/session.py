@@ -44,8 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) is a fresh scratch folder
-    created and registered.
+    as is (unset on a cluster is an error).  Only in local mode with no
+    setting (tests) is a fresh scratch folder created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="visiflow-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (checkpoints must survive executor loss)")
+        conf_dir = tempfile.mkdtemp(prefix="visiflow-ckpt-")      # single-machine runs and tests only
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 
 from visiflow import config as C
@@ -60,8 +59,3 @@ def live_state(key, pdfs: Iterator[pd.DataFrame], state, depth: int = C.STATE_DE
     for c in ("lag_1", "lag_2", "lag_3"):
         df[c] = df[c].astype("float64")
     yield df
-
-
-def empty_output() -> pd.DataFrame:
-    return pd.DataFrame({"zone": pd.Series(dtype=object), "ts": pd.Series(dtype="datetime64[us]"),
-                         "rvr": np.array([], dtype=float)})
