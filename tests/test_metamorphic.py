@@ -63,3 +63,12 @@ def test_repartition_invariance(spark):
     a = lag_features(b)
     c = lag_features(b.repartition(13))
     assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+
+
+def test_exact_quantiles_with_hot_value(spark):
+    rows = [("a", 1000.0)] * 300 + [("a", float(i)) for i in range(600)] + [("b", float(i % 7)) for i in range(50)]
+    df = spark.createDataFrame(rows, "zone string, rvr double")
+    got = {r.zone: (r.q_25, r.q_50, r.q_75) for r in exact_quantiles(df, "rvr", [0.25, 0.5, 0.75], ["zone"]).collect()}
+    pdf = df.toPandas()
+    for z, g in pdf.groupby("zone"):
+        assert np.allclose(got[z], np.quantile(g["rvr"].to_numpy(), [0.25, 0.5, 0.75]))
