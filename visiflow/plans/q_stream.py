@@ -24,12 +24,19 @@ def r4(c):
 
 @register("stream_bins")
 def stream_bins_q(spark, sf_dir):
-    """T1 + T6: watermarked 10-minute means per zone as a stream (open bins at the end stay open)."""
+    """T1 + T6: watermarked 10-minute means per zone as a stream (open bins at the end stay open).
+
+    ``rows_dropped_late`` is the stream's count of rows behind the watermark.
+    """
     ensure_checkpoint_dir(spark)
     base = run_dir(spark, "bins")
     q = write_parquet_stream(stream_bins(readings_stream(spark, sf_dir)), f"{base}/out", f"{base}/_checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("ts", "zone", r4("rvr").alias("rvr"), "n_readings")
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0)
+                  for p in q.recentProgress for op in p.get("stateOperators", []))
+    return (spark.read.parquet(f"{base}/out")
+            .select("ts", "zone", r4("rvr").alias("rvr"), "n_readings",
+                    F.lit(int(dropped)).cast("bigint").alias("rows_dropped_late")))
 
 
 @register("stream_valid_lags", ORACLES["valid_lag_features"])
