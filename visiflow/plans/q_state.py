@@ -104,7 +104,7 @@ def min_sample_gate_q(spark, sf_dir):
 
 
 @register("grid_cells_positions", with_(CELLS) + """
-SELECT zone, count(*) AS n, sum(pos) AS sum_pos, min(ts) AS first_ts FROM cells GROUP BY zone
+SELECT zone, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos, min(ts) AS first_ts FROM cells GROUP BY zone
 """)
 def grid_cells_positions(spark, sf_dir):
     """Every bin cell with its grid position (summarised per zone)."""
