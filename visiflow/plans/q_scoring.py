@@ -11,6 +11,7 @@ from visiflow.plans.catalog import register
 from visiflow.plans.scoring import (fit_linear_nowcast, latest_nowcast, linear_ar_forecast, prediction_record,
                                     range_backfill, system_status)
 from visiflow.plans.sql import BINS, with_
+from visiflow.session import materialize
 from visiflow.sources.readings import readings_from_events
 
 
@@ -118,11 +119,11 @@ def system_status_q(spark, sf_dir):
     """Last update, predictions kept, models available and feeds with data."""
     r = readings_from_events(spark, sf_dir)
     b = bin_mean(r).select("ts", "zone", "rvr")
-    state = valid_lag_features(b)
+    state = materialize(valid_lag_features(b))      # read by the fit and by the backfill
     coefs = fit_linear_nowcast(state)
     lo = F.lit(START).cast("timestamp_ntz")
     hi = F.lit(END).cast("timestamp_ntz")
-    bf = range_backfill(b, lo, hi, coefs)
+    bf = range_backfill(b, lo, hi, coefs, state=state)
     return system_status(bf, coefs, r)
 
 

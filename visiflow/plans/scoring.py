@@ -74,18 +74,21 @@ def fallback_chain(df: DataFrame, predicted: str = "predicted", current: str = "
 # ---------------------------------------------------------------------------
 
 def range_backfill(bins: DataFrame, start, end, coefs: DataFrame | None = None, value: str = "rvr",
-                   depth: int = C.STATE_DEPTH) -> DataFrame:
+                   depth: int = C.STATE_DEPTH, state: DataFrame | None = None) -> DataFrame:
     """Nowcast every bin of [start, end] (inclusive) from the state as of that bin (M8).
 
     The state of a (zone, time) is the newest ``depth`` valid bins at or
     before it — a backward as-of join against the valid-lag table, so a
     step never sees readings after its own time.  ``current`` is the newest
     valid value in that state, ``raw_current`` the bin's own value by the
-    looser 'current' rule.
+    looser 'current' rule.  A state table computed by the caller (e.g. to
+    fit coefficients from it) can be passed as ``state``.
     """
-    state = valid_lag_features(bins.select("ts", "zone", value), value, depth=depth)
+    if state is None:
+        state = valid_lag_features(bins.select("ts", "zone", value), value, depth=depth)
+        if coefs is None:
+            state = materialize(state)          # read by the fit and by the as-of join
     if coefs is None:
-        state = materialize(state)          # read by the fit and by the as-of join
         coefs = fit_linear_nowcast(state)
     steps = bins.filter(F.col("ts").between(start, end)).select("ts", "zone", F.col(value).alias("raw"))
     st = state.select("zone", "ts", F.col(value).alias("v"), *[f"lag_{k}" for k in range(1, depth)], "ready")
