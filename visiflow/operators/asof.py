@@ -41,9 +41,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "ts", by: Sequence[st
     by = list(by)
     right_cols = list(right_cols) if right_cols is not None else [c for c in right.columns if c not in by + [on]]
     tol_us = None if tolerance_minutes is None else int(tolerance_minutes * MINUTE_US)
-    # the carry table reaches across any number of buckets, so the bucket
-    # width only sizes the sort partitions (10 minutes of one key by default)
-    width = max(int((bucket_minutes or DEFAULT_BUCKET_MIN) * MINUTE_US), 1)
+    # the carry table reaches across any number of buckets, so the bucket width
+    # only sizes the sort partitions: the tolerance, or 10 minutes of one key
+    # when the join is unbounded
+    width = max(int((bucket_minutes or tolerance_minutes or DEFAULT_BUCKET_MIN) * MINUTE_US), 1)
 
     payload = F.struct(F.col(on).alias("_rts"), *[F.col(c).alias(c) for c in right_cols])
     r = right.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("_t"), payload.alias("_p"))
