@@ -71,3 +71,15 @@ def test_scoring_sink_replay_is_idempotent(spark, tmpdir_path):
     assert hist.filter(F.col("batch_id") == 0).count() == 5
     latest = spark.read.parquet(f"{tmpdir_path}/latest/v=1")
     assert latest.count() == 1 and latest.first().source == "model"
+
+
+def test_read_weather_runway_from_file_name(spark, tmpdir_path):
+    import os
+    from visiflow.sources.readings import read_weather
+    header = "Date,Time,Temperature1MinAvg (DEG C),Humidity1MinAvg (%Rh)\n"
+    for name, t in (("RUNWAY11_2024.csv", "21.5"), ("RUNWAY-28_2024.csv", "19.0")):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(header + f"17/02/2024,13:01:05,{t},80\n31/02/2024,13:02:05,{t},80\n")
+    w = read_weather(spark, tmpdir_path)
+    got = sorted((r.runway, r.temperature, r.humidity) for r in w.collect())
+    assert got == [("RUNWAY-28", 19.0, 80.0), ("RUNWAY11", 21.5, 80.0)]    # impossible date dropped
