@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiflow.llm import bpe
+from visiflow.llm import bpe, pii, quality_rules
 from visiflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,19 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text of documents, and the way back."""
     return bpe_digests(read(spark, sf_dir, "documents"))
+
+
+@register
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition and symbol counts, divergence from the language references, and the verdict."""
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
+@register
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents: base spans by kind, and all spans of the method."""
+    found = pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii", lambda s: s.base)
+    count = lambda kind: F.size(F.filter("pii", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k.name) for k in pii.KINDS if k.base),
+                        F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
