@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiflow.llm import bpe, pii, quality_rules
+from visiflow.llm import bpe, decontam, langid, pii, quality_rules, warc
 from visiflow.llm.common import read
+from visiflow.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +53,37 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("pii", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k.name) for k in pii.KINDS if k.base),
                         F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per document: words hit, items found, verdict."""
+    found = decontam.find_contamination(docs, items)
+    ids = F.sort_array(F.array_distinct(F.transform(F.filter("matches", lambda m: m.item_id.isNotNull()), lambda m: m.item_id.cast("string"))))
+    hit = decontam.hit_words(F.col("matches")).cast("long")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+                        F.size("near_items").cast("long").alias("n_near"))
+
+
+@register
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against benchmark: exact matches of ten-word windows, and items only found in proximity."""
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as monolithic gzip archives, normalised to one member per record, read back by the sidecar index."""
+    folder = shared_path(spark, f"llm/warc-{uuid.uuid4().hex}")
+    warc.write_monolithic(warc.with_revisits(read(spark, sf_dir, "pages")), f"{folder}/whole")
+    manifest = warc.normalise(spark, f"{folder}/whole", f"{folder}/members")
+    return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    model = langid.fit_languages(docs.filter(~F.col("held_out")))
+    return langid.predict_languages(docs, model, keep=("doc_id", "held_out"))
