@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiflow.llm import bpe, decontam, langid, pii, quality_rules, warc
+from visiflow.llm import bpe, decontam, langid, pii, quality_rules, substring_dedup, warc
 from visiflow.llm.common import read
 from visiflow.session import shared_path
 
@@ -87,3 +87,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
     model = langid.fit_languages(docs.filter(~F.col("held_out")))
     return langid.predict_languages(docs, model, keep=("doc_id", "held_out"))
+
+
+@register
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word covered by a window of 20 words that also starts earlier goes."""
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
