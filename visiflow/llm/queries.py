@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiflow.llm import bpe, decontam, langid, pii, quality_rules, substring_dedup, warc
+from visiflow.llm import bpe, decontam, jaccard_join, langid, pii, quality_rules, substring_dedup, warc
 from visiflow.llm.common import read
 from visiflow.session import shared_path
 
@@ -94,3 +94,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word covered by a window of 20 words that also starts earlier goes."""
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate group and its number of links (five-word shingles, 0.8)."""
+    return jaccard_join.jaccard_groups(read(spark, sf_dir, "documents"))
