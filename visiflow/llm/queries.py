@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiflow.llm import bpe, decontam, jaccard_join, langid, pii, quality_rules, substring_dedup, warc
+from visiflow.llm import (bpe, decontam, jaccard_join, langid, licenses, pii, quality_cotrain, quality_rules,
+                          substring_dedup, warc)
 from visiflow.llm.common import read
 from visiflow.session import shared_path
 
@@ -100,3 +101,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate group and its number of links (five-word shingles, 0.8)."""
     return jaccard_join.jaccard_groups(read(spark, sf_dir, "documents"))
+
+
+@register
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the license templates that its whole text contains."""
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+                        F.array_join(F.transform("licenses", lambda x: x.license), ",").alias("licenses"),
+                        F.array_max(F.transform("licenses", lambda x: x.containment)).alias("best_containment"))
+
+
+@register
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels by co-training, and whether it is kept."""
+    return quality_cotrain.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
