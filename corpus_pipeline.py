@@ -2,23 +2,55 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; ``run`` writes each result as Parquet in the shared folder
-and reads it again as the next stage's ``docs``.
+and reads it again as the next stage's ``docs``.  Documents that a stage drops
+are named by doc_id; a row without one is never dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from visiflow.llm import jaccard_join, pii, quality_cotrain
 from visiflow.llm import queries as llm
 from visiflow.llm.common import read, write_table
 
 
+def _without(docs: DataFrame, decisions: DataFrame, dropped) -> DataFrame:
+    """The rows of ``docs`` whose id has no decision ``dropped``."""
+    ids = write_table(decisions.filter(dropped).select("doc_id").distinct(), "dropped")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return _without(docs, quality_cotrain.score_quality(docs, read(spark, sf_dir, "labels")), ~F.col("kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays, once."""
+    left = _without(docs, jaccard_join.jaccard_groups(docs), F.col("doc_id") != F.col("class_id"))
+    return left.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a ten-word window of a benchmark item go."""
+    return _without(docs, llm.contamination(docs, read(spark, sf_dir, "benchmark")), F.col("contaminated"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind in brackets; n_chars is that of the new text."""
+    done = pii.redact(pii.find_pii(docs, out="_pii"), spans="_pii").drop("_pii")
+    return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, as counts and digests."""
     return llm.bpe_digests(docs)
 
 
-STAGES = [("byte_bpe", encode_tokens)]
+STAGES = [("quality_classifier", classify_quality), ("near_duplicates", drop_near_duplicates),
+          ("decontamination", drop_contaminated), ("personal_data", redact_personal_data), ("byte_bpe", encode_tokens)]
 
 #: The stages learn a classifier and iterate over links; SQL cannot express that (brute-force tests instead).
 ORACLE_SQL = None
