@@ -106,6 +106,7 @@ TRAIN_FRACTION = 0.8
 CV_FOLDS = 3
 MIN_SAMPLES = 100
 R2_TARGET = 0.9923
+R2_GOOD = 0.99
 
 # Model search space and fixed runs.
 FIXED_TREE_COUNTS = [10, 25, 20]

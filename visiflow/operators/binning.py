@@ -13,11 +13,12 @@ from visiflow.functions.times import floor_minutes
 
 def bin_mean(readings: DataFrame, minutes: int = C.BIN_MINUTES, keys: Sequence[str] = ("zone",),
              value: str = "rvr", sentinel: str = "keep", sentinel_value: float = C.SENTINEL_RVR) -> DataFrame:
-    """Mean per (bin start, keys); nulls ignored, a bin of only nulls has a NULL mean.
+    """Mean per (bin start, keys); null readings go first, so a bin of only nulls does not exist.
 
     ``sentinel='keep'`` averages off-scale sentinels with real readings (the
-    source system's behaviour); ``'drop'`` treats them as missing.  Also
-    returns the number of readings and the share that were the sentinel.
+    source system's behaviour); ``'drop'`` treats them as missing (such a bin
+    keeps its row, with a NULL mean and its sentinel share).  Also returns the
+    number of readings and the share that were the sentinel.
 
     Plan: partial aggregation per map task, one shuffle on (bin, keys); a hot
     key is combined map-side before the shuffle.
@@ -26,7 +27,7 @@ def bin_mean(readings: DataFrame, minutes: int = C.BIN_MINUTES, keys: Sequence[s
     is_sent = v == F.lit(sentinel_value)
     if sentinel == "drop":
         v = F.when(is_sent, F.lit(None).cast("double")).otherwise(v)
-    return (readings
+    return (readings.filter(F.col(value).isNotNull())
             .groupBy(floor_minutes("ts", minutes).alias("ts"), *keys)
             .agg(F.avg(v).alias(value),
                  F.count(F.col(value)).alias("n_readings"),

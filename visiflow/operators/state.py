@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visiflow import config as C
 from visiflow.functions.values import is_valid
-from visiflow.operators.index import dense_index, time_chunk
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str] = ("zone",), order: str = "ts",
                    cols: Sequence[str] | None = None) -> DataFrame:
-    """Newest row per key by time (ties: largest payload), as one partial aggregation."""
+    """Newest row per key by time, as one partial hash aggregation (no sort of the rows).
+
+    One ``max_by`` per column, all by the same time, so every column comes from
+    the same row; of rows that share key and time any one is taken.
+    """
     keys = list(keys)
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys + [order]]
-    s = F.max_by(F.struct(F.col(order).alias(order), *[F.col(c) for c in cols]), F.struct(order, *cols))
-    return df.groupBy(*keys).agg(s.alias("_s")).select(*keys, *[F.col(f"_s.{c}").alias(c) for c in [order] + cols])
+    return df.filter(F.col(order).isNotNull()).groupBy(*keys).agg(
+        F.max(order).alias(order), *[F.max_by(F.col(c), F.col(order)).alias(c) for c in cols])
 
 
 def tail_positions(cells: DataFrame, n: int = C.TAIL_ROWS, ts: str = "ts") -> DataFrame:
-    """Distinct times that are among the newest ``n`` grid rows (numbered from the end)."""
-    axis = cells.select(ts).distinct()
-    rev = dense_index(axis, [], [F.col(ts).desc()], -time_chunk(ts), "_rpos")
-    return rev.filter(F.col("_rpos") < n).select(ts)
+    """The newest ``n`` distinct times (every task keeps its own n, then one merge)."""
+    return cells.select(ts).distinct().orderBy(F.col(ts).desc()).limit(n)
 
 
 def last_valid_in_tail(cells: DataFrame, n: int = C.TAIL_ROWS, value: str = "rvr",
@@ -55,13 +56,11 @@ def profile(df: DataFrame, ts: str = "ts", cols: Sequence[str] | None = None) ->
                   *[F.count(F.col(f"`{c}`")).alias(f"nonnull_{c}") for c in cols])
 
 
-def horizon(df: DataFrame, hours: int = C.HORIZON_HOURS, ts: str = "ts", fallback_rows: int | None = None) -> DataFrame:
+def horizon(df: DataFrame, hours: int = C.HORIZON_HOURS, ts: str = "ts") -> DataFrame:
     """Rows with time in [min(ts), min(ts) + hours] (both ends inclusive).
 
     The start is a scalar subquery (one value, computed once), so the filter
-    runs map-side with no join.  ``fallback_rows`` (the source system's rule
-    for an empty window: first hours*6 rows) can only apply when the input
-    is empty, because min(ts) itself is always inside the window.
+    runs map-side with no join.  The window always holds the row at min(ts).
     """
     start = df.select(F.min(ts)).scalar()
     return df.filter((F.col(ts) >= start) & (F.col(ts) <= F.timestamp_add("HOUR", F.lit(hours), start)))
@@ -77,13 +76,10 @@ def min_sample_gate(df: DataFrame, keys: Sequence[str] = ("zone",), minimum: int
 def column_samples(df: DataFrame, cols: Sequence[str], n: int = 5, order: str = "ts") -> DataFrame:
     """The first ``n`` non-null values of every column in time order (column, ts, value).
 
-    Each column is a top-n (``orderBy(...).limit(n)``: every task keeps its
-    own n rows, then one merge), so the sample never gathers a column.
+    One pass over the input for all columns: a group-limited row number, of
+    which every task keeps its own n rows per column before the shuffle.
     """
-    parts = [df.filter(F.col(f"`{c}`").isNotNull()).orderBy(order, F.col(f"`{c}`"))
-             .limit(n).select(F.lit(c).alias("column"), order, F.col(f"`{c}`").cast("double").alias("value"))
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    long = (df.select(order, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+            .unpivot([order], list(cols), "column", "value").filter(F.col("value").isNotNull()))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(order, "value"))
+    return long.withColumn("_r", rank).filter(F.col("_r") <= n).select("column", order, "value")

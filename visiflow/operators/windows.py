@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visiflow import config as C
@@ -85,9 +85,12 @@ def valid_lag_features(readings: DataFrame, value: str = "rvr", keys: Sequence[s
 
     ``lag_1..lag_{depth-1}`` are the previous valid values of the zone;
     ``ready`` is true once the zone has ``depth`` valid readings up to and
-    including this one.
+    including this one.  Of valid readings that share key and time the least
+    value counts, once (as in the stream's state).
     """
-    idx = valid_index(readings, value, keys)
+    once = (readings.filter(is_valid(F.col(value)) & F.col("ts").isNotNull())
+            .groupBy(*keys, "ts").agg(F.min(value).alias(value)))
+    idx = valid_index(once, value, keys)
     cols = {f"lag_{k}": _lag(value, k) for k in range(1, depth)}
     out = chunked_window(idx, list(keys), "vidx", cols, depth - 1, chunk_positions)
     return out.withColumn("ready", F.col("vidx") >= F.lit(depth - 1))
@@ -129,11 +132,9 @@ def cv_folds(df: DataFrame, keys: Sequence[str] = ("zone",), order: str = "ts",
 def last_n(df: DataFrame, n: int = C.TAIL_ROWS, keys: Sequence[str] = ("zone",), order: str = "ts") -> DataFrame:
     """Newest ``n`` rows per key (row_number from the end <= n).
 
-    Expressed as a dense index from the start and a per-key count, so a
-    key's rows are numbered in parallel chunks instead of one sorted task.
+    The filter on the row number limits every task to its own newest ``n``
+    rows per key before the shuffle, so a hot key sends n rows a task.
     """
-    keys = list(keys)
-    d = dense_index(df, keys, [order], time_chunk(order), "_i")
-    cnt = zone_counts(d, keys)
-    return (d.join(cnt, keys).filter(F.col("_i") >= F.col("_n") - n)
-            .withColumn("rank_from_end", (F.col("_n") - F.col("_i")).cast("bigint")).drop("_i", "_n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+    return (df.withColumn("rank_from_end", rank).filter(F.col("rank_from_end") <= n)
+            .withColumn("rank_from_end", F.col("rank_from_end").cast("bigint")))

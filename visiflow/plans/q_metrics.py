@@ -133,16 +133,16 @@ def best_run_per_zone(spark, sf_dir):
 SELECT count(*) AS n_zones, round(avg(r2), 4) AS avg_r2, round(avg(rmse), 4) AS avg_rmse, round(avg(mae), 4) AS avg_mae,
   count(*) FILTER (WHERE r2 > 0.9923) AS n_above_target,
   round((avg(r2) - 0.9923) / 0.9923 * 100.0, 4) AS pct_vs_target,
-  CASE WHEN avg(r2) >= 0.9923 THEN 'target met' WHEN avg(r2) >= 0.9923 - 0.01 THEN 'close'
-       WHEN avg(r2) >= 0.9 THEN 'good' WHEN avg(r2) >= 0.7 THEN 'fair' ELSE 'poor' END AS tier
+  count(*) FILTER (WHERE r2 > 0.99 AND r2 <= 0.9923) AS n_above_good, count(*) FILTER (WHERE r2 <= 0.99) AS n_below
 FROM best
 """)
 def target_summary_q(spark, sf_dir):
-    """Averages over the best run of each zone, zones above R² 0.9923, gap and tier."""
+    """Averages over the best run of each zone, zones above R² 0.9923, above 0.99 and below, signed gap."""
     b = best_run(runs_table(spark, sf_dir), ["zone"], "r2", "run_order")
     s = target_summary(b)
     return s.select("n_zones", r4("avg_r2").alias("avg_r2"), r4("avg_rmse").alias("avg_rmse"),
-                    r4("avg_mae").alias("avg_mae"), "n_above_target", r4("pct_vs_target").alias("pct_vs_target"), "tier")
+                    r4("avg_mae").alias("avg_mae"), "n_above_target", r4("pct_vs_target").alias("pct_vs_target"),
+                    "n_above_good", "n_below")
 
 
 @register("training_log_summary", with_(RUNS_SQL) + """
@@ -170,31 +170,35 @@ wide AS (
   SELECT b.ts,
     max(CASE WHEN zr.zrank = 1 THEN b.rvr END) AS v1, max(CASE WHEN zr.zrank = 2 THEN b.rvr END) AS v2,
     max(CASE WHEN zr.zrank = 3 THEN b.rvr END) AS v3, max(CASE WHEN zr.zrank = 4 THEN b.rvr END) AS v4,
-    max(CASE WHEN zr.zrank = 5 THEN b.rvr END) AS v5
+    max(CASE WHEN zr.zrank = 5 THEN b.rvr END) AS v5, max(CASE WHEN zr.zrank = 6 THEN b.rvr END) AS v6
   FROM bins b JOIN zr USING (zone) GROUP BY b.ts
 ),
 xz AS (
   SELECT b.ts, b.zone,
-    list_value(v1, v2, v3, v4, v5)[CASE WHEN zr.zrank <= 1 THEN 2 ELSE 1 END] AS other_1,
-    list_value(v1, v2, v3, v4, v5)[CASE WHEN zr.zrank <= 2 THEN 3 ELSE 2 END] AS other_2,
-    list_value(v1, v2, v3, v4, v5)[CASE WHEN zr.zrank <= 3 THEN 4 ELSE 3 END] AS other_3,
-    list_value(v1, v2, v3, v4, v5)[CASE WHEN zr.zrank <= 4 THEN 5 ELSE 4 END] AS other_4
+    list_value(v1, v2, v3, v4, v5, v6)[CASE WHEN zr.zrank <= 1 THEN 2 ELSE 1 END] AS other_1,
+    list_value(v1, v2, v3, v4, v5, v6)[CASE WHEN zr.zrank <= 2 THEN 3 ELSE 2 END] AS other_2,
+    list_value(v1, v2, v3, v4, v5, v6)[CASE WHEN zr.zrank <= 3 THEN 4 ELSE 3 END] AS other_3,
+    list_value(v1, v2, v3, v4, v5, v6)[CASE WHEN zr.zrank <= 4 THEN 5 ELSE 4 END] AS other_4,
+    list_value(v1, v2, v3, v4, v5, v6)[CASE WHEN zr.zrank <= 5 THEN 6 ELSE 5 END] AS other_5
   FROM bins b JOIN zr USING (zone) JOIN wide USING (ts)
 ),
-med AS (SELECT zone, median(other_1) AS m1, median(other_2) AS m2, median(other_3) AS m3, median(other_4) AS m4
-        FROM xz GROUP BY zone)"""
+parts AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY zone) AS n FROM xz),
+med AS (SELECT zone, median(other_1) AS m1, median(other_2) AS m2, median(other_3) AS m3, median(other_4) AS m4,
+               median(other_5) AS m5
+        FROM parts WHERE rn < floor(n * 0.8) GROUP BY zone)"""
 
 
 @register("impute_median", with_(XZ_SQL) + """
 SELECT ts, zone, round(coalesce(other_1, m1), 4) AS other_1, round(coalesce(other_2, m2), 4) AS other_2,
-       round(coalesce(other_3, m3), 4) AS other_3, round(coalesce(other_4, m4), 4) AS other_4
+       round(coalesce(other_3, m3), 4) AS other_3, round(coalesce(other_4, m4), 4) AS other_4,
+       round(coalesce(other_5, m5), 4) AS other_5
 FROM xz JOIN med USING (zone)
 """)
 def impute_median_q(spark, sf_dir):
-    """A8 + F4: exact per-zone median of every cross-zone feature fills its NULLs."""
-    x = materialize(cross_zone_features(_bins(spark, sf_dir), k=4))   # read by the median fit and the fill
-    cols = [f"other_{i}" for i in range(1, 5)]
-    out = impute_median(x, cols, ["zone"])
+    """A8 + F4: exact per-zone median of every cross-zone feature, fitted on the train split, fills its NULLs."""
+    x = materialize(temporal_split(cross_zone_features(_bins(spark, sf_dir), k=5)))   # read by the median fit and the fill
+    cols = [f"other_{i}" for i in range(1, 6)]
+    out = impute_median(x, cols, ["zone"], fit_on=x.filter(F.col("split") == "train"))
     return out.select("ts", "zone", *[r4(c).alias(c) for c in cols])
 
 

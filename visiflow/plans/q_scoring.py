@@ -34,9 +34,13 @@ coefs AS (
   FROM valid_state WHERE lag_1 IS NOT NULL GROUP BY zone
 )"""
 
-START, END = "2024-01-01 00:00:00", "2024-12-31 23:59:59"
+START, END = "2024-01-15 00:00:00", "2024-12-31 23:59:59"
 
 BACKFILL_SQL = STATE_SQL + f""",
+past AS (
+  SELECT zone, regr_intercept(rvr, lag_1) AS a, regr_slope(rvr, lag_1) AS b
+  FROM valid_state WHERE lag_1 IS NOT NULL AND ts < TIMESTAMP '{START}' GROUP BY zone
+),
 steps AS (SELECT ts, zone, rvr AS raw FROM bins WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'),
 j AS (
   SELECT s.ts, s.zone, s.raw, v.rvr AS current, v.lag_1, coalesce(v.ready, false) AS ready
@@ -44,7 +48,7 @@ j AS (
 ),
 scored AS (
   SELECT j.*, CASE WHEN j.ready AND c.a IS NOT NULL AND c.b IS NOT NULL THEN c.a + c.b * j.lag_1 END AS predicted
-  FROM j LEFT JOIN coefs c USING (zone)
+  FROM j LEFT JOIN past c USING (zone)
 ),
 backfill AS (
   SELECT ts, zone, current, predicted,
@@ -104,14 +108,14 @@ FROM backfill GROUP BY ts
 def prediction_wide(spark, sf_dir):
     """S10 record shape: one row per time, <zone>_predicted and <zone>_current (missing -> 1000)."""
     b = _backfill(spark, sf_dir).withColumn("zone_id", safe_zone("zone"))
-    zones = ["click", "error", "purchase", "signup", "view"]
+    zones = sorted(r[0] for r in b.select("zone_id").distinct().collect())      # the zone dimension
     w = prediction_record(b, zones)
     return w.select("ts", *[r4(c).alias(c) for c in w.columns if c != "ts"])
 
 
 @register("system_status", with_(BACKFILL_SQL) + """
 SELECT (SELECT max(ts) FROM backfill) AS last_update, (SELECT count(*) FROM backfill) AS predictions_kept,
-       (SELECT count(DISTINCT zone) FROM coefs) AS models_available,
+       (SELECT count(DISTINCT zone) FROM past) AS models_available,
        (SELECT count(DISTINCT zone) FROM readings) AS feeds_available,
        (SELECT count(*) FROM readings WHERE rvr > 0 AND rvr < 3333.0) AS valid_readings
 """)
@@ -120,15 +124,15 @@ def system_status_q(spark, sf_dir):
     r = readings_from_events(spark, sf_dir)
     b = bin_mean(r).select("ts", "zone", "rvr")
     state = materialize(valid_lag_features(b))      # read by the fit and by the backfill
-    coefs = fit_linear_nowcast(state)
     lo = F.lit(START).cast("timestamp_ntz")
+    coefs = fit_linear_nowcast(state.filter(F.col("ts") < lo))
     hi = F.lit(END).cast("timestamp_ntz")
     bf = range_backfill(b, lo, hi, coefs, state=state)
     return system_status(bf, coefs, r)
 
 
 @register("linear_ar_forecast", "WITH RECURSIVE " + STATE_SQL.strip() + """,
-last AS (SELECT zone, max(ts) AS ts, arg_max(rvr, ts) AS v FROM bins WHERE rvr IS NOT NULL GROUP BY zone),
+last AS (SELECT zone, (SELECT max(ts) FROM bins) AS ts, arg_max(rvr, ts) AS v FROM bins WHERE rvr IS NOT NULL GROUP BY zone),
 f(zone, step, ts, v) AS (
   SELECT l.zone, 0, l.ts, c.a + c.b * l.v FROM last l JOIN coefs c USING (zone)
   UNION ALL
@@ -138,7 +142,7 @@ f(zone, step, ts, v) AS (
 SELECT zone, CAST(step AS BIGINT) AS step, ts, round(v, 1) AS forecast FROM f
 """)
 def linear_ar_forecast_q(spark, sf_dir):
-    """M9 + F8 + P23: 24 h AR(1) forecast at 15-minute steps from each zone's newest bin, rounded to 0.1."""
+    """M9 + F8 + P23: 24 h AR(1) forecast at 15-minute steps from one common start, rounded to 0.1."""
     b = _bins(spark, sf_dir)
     coefs = fit_linear_nowcast(valid_lag_features(b))
     return linear_ar_forecast(b, coefs, 24, 15)

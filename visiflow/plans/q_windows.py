@@ -214,7 +214,7 @@ def history_last_100(spark, sf_dir):
 
 
 def _feature_sql() -> str:
-    """Oracle for the full training feature table (previous-row windows, other zones at the same time)."""
+    """Oracle for the full training feature table (previous-row windows, other zones at the previous position)."""
     rolls = []
     for w in (3, 6, 12):
         frame = f"(PARTITION BY zone ORDER BY pos RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING)"
@@ -223,21 +223,21 @@ def _feature_sql() -> str:
                      f"AS roll_std_{w}")
     lags = [f"round(first(rvr) OVER (PARTITION BY zone ORDER BY pos RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING), 4) "
             f"AS lag_{k}" for k in (1, 2, 3)]
-    others = [f"round(list_value(v1, v2, v3, v4, v5)[CASE WHEN zr.zrank <= {i} THEN {i + 1} ELSE {i} END], 4) "
-              f"AS other_{i}" for i in range(1, 5)]
+    others = [f"round(list_value(v1, v2, v3, v4, v5, v6)[CASE WHEN zr.zrank <= {i} THEN {i + 1} ELSE {i} END], 4) "
+              f"AS other_{i}" for i in range(1, 6)]
     return with_(CELLS) + """,
 zr AS (SELECT zone, row_number() OVER (ORDER BY zone) AS zrank FROM (SELECT DISTINCT zone FROM bins)),
 wide AS (
-  SELECT b.ts,
+  SELECT b.pos + 1 AS next_pos,
     max(CASE WHEN zr.zrank = 1 THEN b.rvr END) AS v1, max(CASE WHEN zr.zrank = 2 THEN b.rvr END) AS v2,
     max(CASE WHEN zr.zrank = 3 THEN b.rvr END) AS v3, max(CASE WHEN zr.zrank = 4 THEN b.rvr END) AS v4,
-    max(CASE WHEN zr.zrank = 5 THEN b.rvr END) AS v5
-  FROM bins b JOIN zr USING (zone) GROUP BY b.ts
+    max(CASE WHEN zr.zrank = 5 THEN b.rvr END) AS v5, max(CASE WHEN zr.zrank = 6 THEN b.rvr END) AS v6
+  FROM cells b JOIN zr USING (zone) GROUP BY b.pos
 )
 SELECT c.zone, c.ts, round(c.rvr, 4) AS y, CAST(hour(c.ts) AS DOUBLE) AS hour,
   CAST(isodow(c.ts) - 1 AS DOUBLE) AS day_of_week, CAST(month(c.ts) AS DOUBLE) AS month,
   CAST(dayofyear(c.ts) AS DOUBLE) AS day_of_year, """ + ", ".join(lags + rolls + others) + """
-FROM cells c JOIN zr USING (zone) JOIN wide USING (ts)
+FROM cells c JOIN zr USING (zone) LEFT JOIN wide ON wide.next_pos = c.pos
 """
 
 
@@ -246,11 +246,11 @@ def feature_table(spark, sf_dir):
     """W1 + W2 + J6 + F1: the training feature table of every bin in one build (the per-update processing step).
 
     Calendar fields, positional lags 1..3, full-window rolling mean / std over
-    the 3, 6, 12 positions before the row, and the first four other zones at
-    the same time, from one FeatureSpec.
+    the 3, 6, 12 positions before the row, and the first five other zones at
+    the previous position, from one FeatureSpec.
     """
     from visiflow.plans.features import FeatureSpec, build_features
-    spec = FeatureSpec(kind="grid", include_current=False, n_other=4)
+    spec = FeatureSpec(kind="grid", include_current=False, n_other=5, cross_zone_lag=1)
     f = build_features(_bins(spark, sf_dir), spec)
     return f.select("zone", "ts", r4("y").alias("y"), *[r4(c).alias(c) if not c.startswith(("hour", "day", "month"))
                                                         else F.col(c) for c in spec.columns()])

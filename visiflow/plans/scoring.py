@@ -81,15 +81,18 @@ def range_backfill(bins: DataFrame, start, end, coefs: DataFrame | None = None,
     before it — a backward as-of join against the valid-lag table, so a
     step never sees readings after its own time.  ``current`` is the newest
     valid value in that state, ``raw_current`` the bin's own value by the
-    looser 'current' rule.  A state table computed by the caller (e.g. to
-    fit coefficients from it) can be passed as ``state``.
+    looser 'current' rule.  Without given coefficients the fit uses the
+    state rows before ``start`` only, so no step depends on later rows (a
+    zone without any gets no model and falls back).  A state table computed
+    by the caller can be passed as ``state``.
     """
+    bins = bins.filter(F.col("ts") <= end)
     if state is None:
         state = valid_lag_features(bins.select("ts", "zone", value), value, depth=depth)
         if coefs is None:
             state = materialize(state)          # read by the fit and by the as-of join
     if coefs is None:
-        coefs = fit_linear_nowcast(state)
+        coefs = fit_linear_nowcast(state.filter(F.col("ts") < start))
     steps = bins.filter(F.col("ts").between(start, end)).select("ts", "zone", F.col(value).alias("raw"))
     st = state.select("zone", "ts", F.col(value).alias("v"), *[f"lag_{k}" for k in range(1, depth)], "ready")
     j = asof_join(steps, st, "ts", by=["zone"], tolerance_minutes=None, direction="backward", prefix="s_")
@@ -107,13 +110,13 @@ def latest_nowcast(bins: DataFrame, coefs: DataFrame | None = None, value: str =
     single aggregation over the state table (regr_* skip rows without a lag).
     """
     state = valid_lag_features(bins.select("ts", "zone", value), value, depth=depth)
-    newest = F.max_by(F.struct("ts", F.col(value).alias("current"), "lag_1", "ready"), "ts").alias("_s")
+    newest = [F.max("ts").alias("ts"), F.max_by(F.col(value), "ts").alias("current"),
+              F.max_by("lag_1", "ts").alias("lag_1"), F.max_by("ready", "ts").alias("ready")]
     if coefs is None:
         last = state.groupBy("zone").agg(F.regr_intercept(F.col(value), F.col("lag_1")).alias("a"),
-                                         F.regr_slope(F.col(value), F.col("lag_1")).alias("b"), newest)
+                                         F.regr_slope(F.col(value), F.col("lag_1")).alias("b"), *newest)
     else:
-        last = state.groupBy("zone").agg(newest).join(coefs, "zone", "left")
-    last = last.select("zone", "_s.*", "a", "b")
+        last = state.groupBy("zone").agg(*newest).join(coefs, "zone", "left")
     zones = bins.select("zone").distinct()
     j = zones.join(last, "zone", "left").withColumn("ready", F.coalesce(F.col("ready"), F.lit(False)))
     pred = F.when(F.col("ready") & F.col("a").isNotNull() & F.col("b").isNotNull(),
@@ -125,12 +128,13 @@ def linear_ar_forecast(bins: DataFrame, coefs: DataFrame, hours: int = C.FORECAS
                        step_min: int = C.FORECAST_STEP_MIN, value: str = "rvr") -> DataFrame:
     """Multi-step AR(1) forecast per zone in one expression (M9 + F8).
 
-    Start is each zone's newest bin; ``hours * 60 / step + 1`` points are
-    produced; point i is a + b * point(i-1), point(-1) being the newest
-    value.  ``aggregate`` over the step sequence carries the state, so no
+    All zones share one start, the newest time of any zone; ``hours * 60 /
+    step + 1`` points are produced; point i is a + b * point(i-1), point(-1)
+    being the zone's own newest value.  ``aggregate`` over the step sequence carries the state, so no
     driver loop or per-step job is needed.
     """
-    last = latest_per_key(bins.filter(F.col(value).isNotNull()).select("zone", "ts", value), ["zone"])
+    known = bins.filter(F.col(value).isNotNull()).select("zone", "ts", value)
+    last = latest_per_key(known, ["zone"]).withColumn("ts", known.select(F.max("ts")).scalar())
     j = last.join(coefs, "zone")
     n = hours * 60 // step_min + 1
     vals = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast("array<double>"),
@@ -155,6 +159,8 @@ def model_forecast(bins: DataFrame, models: Mapping[str, PipelineModel], spec: F
     """
     if spec.kind == "grid" and spec.include_current:
         raise ValueError("forecast features must not include the current row (include_current=False)")
+    if spec.kind == "grid" and spec.n_other and not spec.cross_zone_lag:
+        raise ValueError("other zones are not known at the forecast time (cross_zone_lag=1)")
     # only the look-back the features need travels through the loop
     depth = max(list(spec.lags) + list(spec.windows)) + 1
     hist = last_n(bins.select("ts", "zone", value), depth, ["zone"]).drop("rank_from_end")
@@ -162,9 +168,11 @@ def model_forecast(bins: DataFrame, models: Mapping[str, PipelineModel], spec: F
     for s in range(steps):
         newest = latest_per_key(hist.select("zone", "ts"), ["zone"]).select(
             "zone", F.timestamp_add("MINUTE", F.lit(step_min), F.col("ts")).alias("next_ts"))
-        # the next time is appended with a valid placeholder value: features only
-        # look at earlier rows, so the placeholder never enters its own features
-        nxt = newest.select(F.col("next_ts").alias("ts"), "zone", F.lit(1.0).alias(value))
+        # the next time is appended without a value on the grid; the valid-reading
+        # features number valid rows only, so there it needs one, which no feature
+        # reads (lags are the zone's own earlier rows)
+        hold = F.lit(1.0 if spec.kind == "valid" else None).cast("double")
+        nxt = newest.select(F.col("next_ts").alias("ts"), "zone", hold.alias(value))
         feats = build_features(hist.unionByName(nxt), spec, value).join(
             newest.withColumnRenamed("next_ts", "ts"), ["zone", "ts"], "left_semi")
         # a feature without any value at a forecast step (e.g. no other zone at that time) is 0
@@ -174,8 +182,8 @@ def model_forecast(bins: DataFrame, models: Mapping[str, PipelineModel], spec: F
         out = step if out is None else out.unionByName(step)
         hist = hist.unionByName(scored.select("ts", "zone", value))
         if (s + 1) % checkpoint_every == 0:
-            hist = hist.checkpoint()
-            out = out.checkpoint()
+            hist = materialize(hist)
+            out = materialize(out)
     return out
 
 

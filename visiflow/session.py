@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (checkpoints must survive executor loss)")
         conf_dir = tempfile.mkdtemp(prefix="visiflow-ckpt-")      # single-machine runs and tests only
     sc.setCheckpointDir(conf_dir)
