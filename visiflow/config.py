@@ -122,7 +122,14 @@ PARAM_GRID = {
 }
 SEARCH_DRAWS = 50
 # Second training pipeline's fixed model (as-of weather features).
-PIPELINE_A_PARAMS = dict(n_estimators=200, learning_rate=0.05, max_depth=6, seed=42)
+PIPELINE_A_PARAMS = dict(n_estimators=200, learning_rate=0.05, max_depth=6, subsample=0.8, colsample_bytree=0.8, seed=42)
+# Weather columns by the second pipeline's own names.
+PIPELINE_A_WEATHER = {
+    "Temperature1MinAvg (DEG C)": "temperature",
+    "Humidity1MinAvg (%)": "humidity",
+    "Wind Speed": "wind_speed",
+    "DewPoint1MinAvg (DEG C)": "dew_point",
+}
 FORECAST_STEP_MIN = 15
 FORECAST_HOURS = 24
 

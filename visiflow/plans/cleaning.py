@@ -66,7 +66,7 @@ def clean_weather(para: DataFrame, wind: DataFrame, out: str | None = None, per_
         return resample_per_source(df, measures, keys=["runway"], per_source=per_file)
 
     p, w = prep(para), prep(wind)
-    j = feed_join(p, w, ["runway", "ts"] + (["source_file"] if per_file else []))
+    j = feed_join(p, w, ["runway", "ts"])       # the two feeds come from different files: both names are kept
     final = project_final(j, [c for c in j.columns if c not in ("ts", "runway")])
     if out:
         write_runway_year(final, out)

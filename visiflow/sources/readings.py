@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visiflow import config as C
@@ -88,11 +88,17 @@ def scan_logs(spark: SparkSession, root: str) -> DataFrame:
            .text(root)
            .select("value", F.col("_metadata.file_path").alias("source_file")))
     # the year directory is the first path component below root, all digits
+    raw = raw.withColumn("source_file", decoded_path("source_file"))
     year = F.regexp_extract("source_file", _re_escape(root) + r"/(\d+)/", 1)
     raw = raw.withColumn("year", year).filter(F.col("year") != "").withColumn("year", F.col("year").cast("int"))
     return parse_log_lines(raw)
 
 
+def decoded_path(col: str) -> Column:
+    """A file path as the user wrote it: scan metadata holds it percent-encoded."""
+    return F.url_decode(F.replace(F.col(col), F.lit("+"), F.lit("%2B")))
+
+
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)
@@ -105,7 +111,7 @@ def _re_escape(s: str) -> str:
 def wide_to_long(wide: DataFrame, ts_col: str = "Datetime", formats=C.CSV_TS_FORMATS,
                  zone_cols: list[str] | None = None) -> DataFrame:
     """Wide (ts + zone columns) -> long readings; values coerced, null time dropped."""
-    zone_cols = zone_cols or [c for c in wide.columns if c != ts_col and not c.startswith("_")]
+    zone_cols = zone_cols or [c for c in wide.columns if c not in (ts_col, "source_file") and not c.startswith("_")]
     df = wide.select(parse_ts(F.col(f"`{ts_col}`"), formats).alias("ts"),
                      *[F.col(f"`{c}`").cast("string").alias(c) for c in zone_cols])
     long = df.unpivot(["ts"], zone_cols, "zone", "raw")
@@ -117,16 +123,55 @@ def read_wide_csv(spark: SparkSession, paths: list[str] | str, ts_col: str = "Da
                   formats=C.CSV_TS_FORMATS) -> DataFrame:
     """Read one or more wide CSV files as long readings.
 
-    Files may carry different zone columns: each is read with its own
-    header and they are unioned by name (missing columns are NULL).  All
-    columns are read as strings; malformed rows become NULL values.
+    Files may carry different zone columns, in any order: each is read with its
+    own header and they are unioned by name (missing columns are NULL).  All
+    columns are read as strings; malformed rows become NULL values; a file
+    without a header that names ``ts_col`` is skipped (``skipped_files``).
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(p) for p in paths]
+    frames = csv_by_header(spark, paths, [ts_col])
+    if not frames:
+        return spark.createDataFrame([], READINGS_SCHEMA)
     wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return wide_to_long(wide, ts_col, formats)
 
 
+def _csv_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true")
+            .text(paths).select(F.btrim("value", F.lit("\ufeff\r")).alias("value"), F.col("_metadata.file_path").alias("source_file")))
+
+
+def _fields(value: Column) -> Column:
+    return F.transform(F.split(value, ","), lambda x: F.btrim(x, F.lit(' "')))
+
+
+def csv_by_header(spark: SparkSession, paths: list[str] | str, required: list[str]) -> list[DataFrame]:
+    """One frame of string columns (and ``source_file``) per distinct header of the CSV files.
+
+    The header of a file is its line that names all ``required`` columns.  Only
+    the distinct headers reach the driver; files are matched to theirs by a
+    join, so files whose columns stand in another order are read by their own.
+    """
+    lines = _csv_lines(spark, paths)
+    named = F.forall(F.array(*(F.lit(c) for c in required)), lambda c: F.array_contains(_fields(F.col("value")), c))
+    heads = lines.filter(named).distinct()
+    out = []
+    for head in sorted(r["value"] for r in heads.select("value").distinct().collect()):
+        files = heads.filter(F.col("value") == head).select("source_file").distinct()
+        names = [x.strip(' "') for x in head.split(",")]
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        rows = lines.join(files, "source_file", "left_semi").filter((F.col("value") != head) & (F.trim("value") != ""))
+        out.append(rows.select("source_file", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("_r")).select("source_file", "_r.*"))
+    return out
+
+
+def skipped_files(spark: SparkSession, paths: list[str] | str, required: list[str]) -> DataFrame:
+    """``source_file`` of every CSV file that ``csv_by_header`` leaves out."""
+    lines = _csv_lines(spark, paths)
+    named = F.forall(F.array(*(F.lit(c) for c in required)), lambda c: F.array_contains(_fields(F.col("value")), c))
+    return lines.groupBy("source_file").agg(F.max(named.cast("int")).alias("n")).filter("n = 0").select("source_file")
+
+
 # ---------------------------------------------------------------------------
 # Weather feeds, year selection, newest file, time column
 # ---------------------------------------------------------------------------
@@ -137,7 +182,8 @@ def weather_from_frame(df: DataFrame, runway_col: str = "runway",
     cols = [F.col(f"`{src}`").try_cast("double").alias(dst)
             for src, dst in zip(C.WEATHER_COLUMNS[2:], C.WEATHER_CANONICAL) if src in df.columns]
     ts = parse_date_time(F.col("Date"), F.col("Time"), fmt)
-    return df.select(ts.alias("ts"), F.col(runway_col).alias("runway"), *cols).filter(F.col("ts").isNotNull())
+    source = ["source_file"] if "source_file" in df.columns else []
+    return df.select(ts.alias("ts"), F.col(runway_col).alias("runway"), *cols, *source).filter(F.col("ts").isNotNull())
 
 
 def read_weather(spark: SparkSession, path: str, fmt: str = "csv",
@@ -145,15 +191,19 @@ def read_weather(spark: SparkSession, path: str, fmt: str = "csv",
     """Weather files named ``<runway>_<year>.<ext>`` (or folders of that name).
 
     The runway comes from the file or folder name; all files below ``path``
-    are read.
+    are read, CSV files each by its own header (unioned by name; a file whose
+    header lacks Date or Time is skipped).
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
+    runway = F.regexp_extract(decoded_path("source_file"), r"/([^/_]+)_\d{4}[^/]*(/[^/]*)?$", 1)
     if fmt == "csv":
-        reader = reader.option("header", "true")
-    raw = reader.format(fmt).load(path)
-    runway = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/_]+)_\d{4}[^/]*(/[^/]*)?$", 1)
-    raw = raw.withColumn("runway", runway)
-    return weather_from_frame(raw, "runway", ts_format)
+        frames = csv_by_header(spark, path, ["Date", "Time"])
+    else:
+        frames = [spark.read.option("recursiveFileLookup", "true").format(fmt).load(path)
+                  .withColumn("source_file", F.col("_metadata.file_path"))]
+    parts = [weather_from_frame(f.withColumn("runway", runway), "runway", ts_format) for f in frames]
+    if not parts:
+        return spark.createDataFrame([], "ts timestamp_ntz, runway string, source_file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def select_year(df: DataFrame, year: int, year_col: str = "year") -> DataFrame:
@@ -168,6 +218,14 @@ def newest_file_rows(df: DataFrame) -> DataFrame:
     return d.join(F.broadcast(newest), "_mtime", "left_semi").drop("_mtime")
 
 
+def newest_file(spark: SparkSession, path: str, glob: str = "*") -> str | None:
+    """Path of the most recently modified file below ``path`` (ties: last name); lists files, reads none."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+             .select("path", "modificationTime"))
+    row = files.orderBy(F.col("modificationTime").desc(), F.col("path").desc()).first()
+    return row["path"] if row else None
+
+
 def time_column(df: DataFrame) -> str | None:
     """First column whose name contains 'date' or 'time' (schema only, no job)."""
     for c in df.columns:
