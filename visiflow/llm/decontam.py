@@ -5,8 +5,10 @@ The index is document-partitioned: every row of the index table is one segment
 term, the sorted list of positions at which the term stands.  A search takes
 each test window's terms from the rarest list of the segment to the most
 frequent one and intersects the lists, each shifted by the term's place in the
-window; what is left are exact phrase matches.  Proximity matches need every
-term of the window within ``slop`` words around a posting of its rarest term.
+window; what is left are exact phrase matches.  A proximity match is a posting of the window's
+anchor around which every other term of the window stands within its length
+plus ``slop`` words, in any order; the anchor is the term that is rarest among
+all test windows (ties: least word), so it does not depend on the segment.
 
 The test items are the stated query set.  They are taken in blocks of
 ``block_items`` items (a fixed bound on what tasks receive); every block is
@@ -62,6 +64,12 @@ class Items:
         self.windows = np.full((len(found), window), -1, np.int64)
         for k, w in enumerate(found):
             self.windows[k, :len(w)] = w
+        uses = np.bincount(self.windows[self.windows >= 0], minlength=len(self.vocabulary))
+        place = np.empty(len(self.vocabulary) + 1, np.int64)  # rank by (windows that use the term, word); the last entry is padding
+        names = list(self.vocabulary)
+        place[sorted(range(len(names)), key=lambda t: (uses[t], names[t]))] = np.arange(len(names))
+        place[-1] = len(names)
+        self.anchor = place[self.windows].argmin(1) if len(found) else np.zeros(0, np.int64)
 
 
 def _pack(x, kind) -> bytes:
@@ -98,6 +106,15 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
 
 
+def _runs(live: np.ndarray, size: np.ndarray):
+    """The windows in runs of about ``CANDIDATES`` candidate places."""
+    ends, cut = np.cumsum(size[live]), 0
+    while cut < len(live):
+        to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + CANDIDATES, "right")))
+        yield live[cut:to]
+        cut = to
+
+
 class Segment:
     """One segment's lists as one sorted array of term * span + position."""
 
@@ -134,28 +151,25 @@ class Segment:
             order = freq.argsort(1, kind="stable")  # rarest first, padding last
             least = np.take_along_axis(freq, order[:, :1], 1)[:, 0]
             live = np.flatnonzero(least > 0)
-            ends = np.cumsum(least[live])
-            cut = 0
-            while cut < len(live):
-                to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + CANDIDATES, "right")))
-                for out, found in ((exact, self._phrase(items, live[cut:to], order, least, first)),
-                                   (near, self._near(items, live[cut:to], order, least, first, slop) if slop is not None else None)):
-                    if found is not None:
-                        out.append(found)
-                cut = to
+            rarest = order[:, 0]
+            exact += [self._phrase(items, some, order, rarest, count, first) for some in _runs(live, least)]
+            if slop is not None:
+                held = count[items.windows[np.arange(len(items.lens)), items.anchor]]
+                near += [self._near(items, some, order, count, first, slop) for some in _runs(live, held)]
         join = lambda x: tuple(np.concatenate(c) for c in zip(*x)) if x else (np.zeros(0, np.int64),) * 2
         return join(exact), join(near)
 
-    def _rarest(self, items, live, order, least, first):
-        """Every posting of the rarest term of each live window."""
-        win = np.repeat(live, least[live])
-        term = items.windows[live, order[live, 0]]
-        at = np.repeat(first[term], least[live]) + np.arange(len(win)) - np.repeat(np.cumsum(least[live]) - least[live], least[live])
-        return win, self.keys[at] - np.repeat(term, least[live]) * self.span
-
-    def _phrase(self, items, live, order, least, first):
-        win, place = self._rarest(items, live, order, least, first)
-        start = place - order[win, 0]
+    def _postings(self, items, live, column, count, first):
+        """Every posting of one term (by its column) of each live window."""
+        term = items.windows[live, column[live]]
+        n = count[term]
+        win = np.repeat(live, n)
+        at = np.repeat(first[term], n) + np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n)
+        return win, self.keys[at] - np.repeat(term, n) * self.span
+
+    def _phrase(self, items, live, order, rarest, count, first):
+        win, place = self._postings(items, live, rarest, count, first)
+        start = place - rarest[win]
         for k in range(1, items.windows.shape[1]):
             if not len(win):
                 break
@@ -165,9 +179,9 @@ class Segment:
             win, start = win[keep], start[keep]
         return win, start - self.gap
 
-    def _near(self, items, live, order, least, first, slop):
-        win, place = self._rarest(items, live, order, least, first)
-        for k in range(1, items.windows.shape[1]):
+    def _near(self, items, live, order, count, first, slop):
+        win, place = self._postings(items, live, items.anchor, count, first)
+        for k in range(items.windows.shape[1]):
             if not len(win):
                 break
             term, reach = items.windows[win, order[win, k]], items.lens[win] + slop
