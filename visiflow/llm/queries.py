@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visiflow.llm import (bpe, decontam, jaccard_join, langid, licenses, pii, quality_cotrain, quality_rules,
                           substring_dedup, warc)
+from visiflow.llm import oracles
 from visiflow.llm.common import read
 from visiflow.session import shared_path
 
@@ -20,9 +21,13 @@ ORACLES: dict[str, str] = {}
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def register(oracle: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle is not None:
+            ORACLES[fn.__name__] = oracle.strip()
+        return fn
+    return add
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
@@ -34,19 +39,20 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@register
+@register()
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text of documents, and the way back."""
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-@register
+@register(oracles.QUALITY_RULES)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition and symbol counts, divergence from the language references, and the verdict."""
-    return quality_rules.judge(read(spark, sf_dir, "documents"))
+    rows = quality_rules.judge(read(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 4) for c in ("class_distance", "word_distance")})
 
 
-@register
+@register(oracles.PII)
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents: base spans by kind, and all spans of the method."""
     found = pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -66,13 +72,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
                         F.size("near_items").cast("long").alias("n_near"))
 
 
-@register
+@register(oracles.DECONTAMINATION)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against benchmark: exact matches of ten-word windows, and items only found in proximity."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@register
+@register(oracles.WARC)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as monolithic gzip archives, normalised to one member per record, read back by the sidecar index."""
     folder = shared_path(spark, f"llm/warc-{uuid.uuid4().hex}")
@@ -81,7 +87,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@register
+@register()
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the documents that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -90,20 +96,20 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model, keep=("doc_id", "held_out"))
 
 
-@register
+@register(oracles.SUBSTRING)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word covered by a window of 20 words that also starts earlier goes."""
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@register
+@register()
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate group and its number of links (five-word shingles, 0.8)."""
     return jaccard_join.jaccard_groups(read(spark, sf_dir, "documents"))
 
 
-@register
+@register()
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the license templates that its whole text contains."""
     found = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -112,7 +118,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_max(F.transform("licenses", lambda x: x.containment)).alias("best_containment"))
 
 
-@register
+@register()
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels by co-training, and whether it is kept."""
     return quality_cotrain.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
