@@ -131,6 +131,7 @@ PIPELINE_A_WEATHER = {
     "DewPoint1MinAvg (DEG C)": "dew_point",
 }
 FORECAST_STEP_MIN = 15
+UPDATE_SECONDS = 60
 FORECAST_HOURS = 24
 
 # Seasons by month (documented-only feature).

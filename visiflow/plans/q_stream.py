@@ -12,31 +12,44 @@ from visiflow.plans.catalog import ORACLES, register
 from visiflow.plans.q_state import latest_per_zone  # noqa: F401  (registers the batch twin first)
 from visiflow.plans.q_windows import valid_lag_features_q  # noqa: F401
 from visiflow.plans.scoring import fit_linear_nowcast
+from visiflow.plans.sql import BINS, VALID, with_
 from visiflow.session import ensure_checkpoint_dir
-from visiflow.sources.readings import readings_from_events
-from visiflow.streaming.jobs import (readings_stream, run_dir, run_scoring_stream, stream_bins, stream_latest,
-                                     stream_state, write_parquet_stream)
+from visiflow.sources.readings import readings_from_events, table
+from visiflow.streaming.jobs import (EVENTS_SCHEMA, ONCE, lag_table_sink, newest_version, readings_stream, run_dir, run_scoring_stream,
+                                     stream_bins, stream_latest, stream_state, versioned_sink, write_parquet_stream)
 
 
 def r4(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 4)
 
 
-@register("stream_bins")
+@register("stream_bins", with_(BINS) + "SELECT ts, zone, round(rvr, 4) AS rvr, n_readings FROM bins")
 def stream_bins_q(spark, sf_dir):
-    """T1 + T6: watermarked 10-minute means per zone as a stream (open bins at the end stay open).
-
-    ``rows_dropped_late`` is the stream's count of rows behind the watermark.
-    """
+    """T1 + T6: 10-minute means per zone kept up to date by the stream; every late row counts, open bins included."""
     ensure_checkpoint_dir(spark)
     base = run_dir(spark, "bins")
-    q = write_parquet_stream(stream_bins(readings_stream(spark, sf_dir)), f"{base}/out", f"{base}/_checkpoint")
+    q = (stream_bins(readings_stream(spark, sf_dir), watermark=None).writeStream.outputMode("update")
+         .foreachBatch(versioned_sink(f"{base}/out")).option("checkpointLocation", f"{base}/_checkpoint").trigger(**ONCE).start())
+    q.awaitTermination()
+    return newest_version(spark, f"{base}/out", ["ts", "zone"]).select("ts", "zone", r4("rvr").alias("rvr"), "n_readings")
+
+
+@register("stream_lags_out_of_order", ORACLES["valid_lag_features"])
+def stream_lags_out_of_order(spark, sf_dir):
+    """T2 + T5: the feed arrives in two files that overlap in time; the lag table still equals the batch one."""
+    ensure_checkpoint_dir(spark)
+    base = run_dir(spark, "disorder")
+    e = table(spark, sf_dir, "events")
+    for part in (1, 0):
+        e.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/in/events{part}.parquet")
+    raw = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", "*.parquet").parquet(f"{base}/in"))
+    readings = raw.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("zone"), (F.col("value") * 10.0).alias("rvr"))
+    q = (readings.writeStream.foreachBatch(lag_table_sink(f"{base}/table")).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(**ONCE).start())
     q.awaitTermination()
-    dropped = sum(op.get("numRowsDroppedByWatermark", 0)
-                  for p in q.recentProgress for op in p.get("stateOperators", []))
-    return (spark.read.parquet(f"{base}/out")
-            .select("ts", "zone", r4("rvr").alias("rvr"), "n_readings",
-                    F.lit(int(dropped)).cast("bigint").alias("rows_dropped_late")))
+    out = newest_version(spark, f"{base}/table/lags", ["zone", "ts"])
+    return out.select("ts", "zone", r4("rvr").alias("rvr"), *[r4(f"lag_{k}").alias(f"lag_{k}") for k in (1, 2, 3)], "ready")
 
 
 @register("stream_valid_lags", ORACLES["valid_lag_features"])
@@ -66,13 +79,25 @@ def stream_latest_q(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("zone", "ts", r4("rvr").alias("rvr"))
 
 
-@register("stream_nowcast")
+FIT_BEFORE = "2024-01-15 00:00:00"
+
+
+@register("stream_nowcast", with_(VALID) + f""",
+st AS (SELECT ts, zone, rvr, vidx, lag(rvr, 1) OVER (PARTITION BY zone ORDER BY ts) AS lag_1 FROM valid),
+past AS (SELECT zone, regr_intercept(rvr, lag_1) AS a, regr_slope(rvr, lag_1) AS b FROM st
+         WHERE lag_1 IS NOT NULL AND ts < TIMESTAMP '{FIT_BEFORE}' GROUP BY zone)
+SELECT zone, ts, round(CASE WHEN vidx >= 3 AND a IS NOT NULL AND b IS NOT NULL THEN a + b * lag_1 ELSE rvr END, 4) AS value,
+  CASE WHEN vidx >= 3 AND a IS NOT NULL AND b IS NOT NULL THEN 'model' ELSE 'current' END AS source
+FROM st LEFT JOIN past USING (zone)
+""")
 def stream_nowcast(spark, sf_dir):
-    """Live state -> nowcast with fallback per micro-batch -> history (append) + latest (replace)."""
+    """Live state -> nowcast with fallback per micro-batch -> history (append) + latest (replace).
+
+    The model is fitted on the readings before a fixed day; the whole feed is streamed.
+    """
     ensure_checkpoint_dir(spark)
     base = run_dir(spark, "nowcast")
-    coefs = fit_linear_nowcast(valid_lag_features(readings_from_events(spark, sf_dir)))
-    q = run_scoring_stream(spark, readings_stream(spark, sf_dir), coefs, base)
+    past = readings_from_events(spark, sf_dir).filter(F.col("ts") < F.lit(FIT_BEFORE).cast("timestamp_ntz"))
+    q = run_scoring_stream(spark, readings_stream(spark, sf_dir), fit_linear_nowcast(valid_lag_features(past)), base)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/history/data").select("zone", "ts", r4("value").alias("value"), "source",
-                                                            "batch_id")
+    return spark.read.parquet(f"{base}/history/data").select("zone", "ts", r4("value").alias("value"), "source")

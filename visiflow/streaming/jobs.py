@@ -18,7 +18,10 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from visiflow import config as C
 from visiflow.plans.scoring import fallback_chain, linear_nowcast
-from visiflow.session import shared_path
+from visiflow.functions.values import is_valid
+from visiflow.operators.state import latest_per_key
+from visiflow.operators.windows import last_n, valid_lag_features
+from visiflow.session import materialize, shared_path
 from visiflow.streaming.state import OUTPUT_SCHEMA, STATE_SCHEMA, live_state
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -36,10 +39,15 @@ def readings_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> Dat
                       (F.col("value") * 10.0).alias("rvr"))
 
 
-def stream_bins(readings: DataFrame, minutes: int = C.BIN_MINUTES, watermark: str = "10 minutes") -> DataFrame:
-    """10-minute mean per zone, emitted once the watermark passes the bin end (append mode)."""
-    r = readings.withColumn("_t", F.col("ts").cast("timestamp"))
-    return (r.withWatermark("_t", watermark)
+def stream_bins(readings: DataFrame, minutes: int = C.BIN_MINUTES, watermark: str | None = "10 minutes") -> DataFrame:
+    """10-minute mean per zone.
+
+    With a watermark a bin is final once it passes (append mode) and later
+    rows are dropped.  Without one every late row counts: run it in update
+    mode into ``versioned_sink``; the state is one row per (bin, zone).
+    """
+    r = readings.filter(F.col("rvr").isNotNull()).withColumn("_t", F.col("ts").cast("timestamp"))
+    return ((r.withWatermark("_t", watermark) if watermark else r)
             .groupBy(F.window("_t", f"{minutes} minutes").alias("w"), "zone")
             .agg(F.avg("rvr").alias("rvr"), F.count("rvr").alias("n_readings"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("ts"), "zone", "rvr", "n_readings"))
@@ -53,17 +61,56 @@ def stream_state(readings: DataFrame) -> DataFrame:
 
 def stream_latest(readings: DataFrame) -> DataFrame:
     """Newest reading per zone, maintained as a streaming aggregation (update mode)."""
-    s = F.max_by(F.struct("ts", "rvr"), "ts")
-    return readings.groupBy("zone").agg(s.alias("s")).select("zone", "s.ts", "s.rvr")
+    return readings.groupBy("zone").agg(F.max("ts").alias("ts"), F.max_by("rvr", "ts").alias("rvr"))
+
+
+#: Triggers: all that is there now, or the source system's update period.
+ONCE, LIVE = {"availableNow": True}, {"processingTime": f"{C.UPDATE_SECONDS} seconds"}
 
 
-def write_parquet_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append"):
+def write_parquet_stream(df: DataFrame, out: str, checkpoint: str, mode: str = "append", trigger: dict = ONCE):
     return (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode(mode).trigger(availableNow=True).start())
+            .outputMode(mode).trigger(**trigger).start())
+
+
+def versioned_sink(path: str):
+    """foreachBatch: every batch's rows in a folder of its own (a replay overwrites its own folder)."""
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def newest_version(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of a versioned table the row of the newest batch for every key."""
+    df = spark.read.parquet(path)
+    cols = [c for c in df.columns if c not in [*keys, "batch_id"]]
+    return df.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in cols])
+
+
+def lag_table_sink(path: str, depth: int = C.STATE_DEPTH):
+    """T2 for feeds out of order: a lag table that equals the batch operator in any order of arrival.
+
+    Every batch's valid readings are stored.  The rows of a zone from the
+    batch's earliest time on are then derived again, with the ``depth - 1``
+    stored readings before it as context, and written under the batch id;
+    ``newest_version`` reads the table.  In-order feeds only derive the
+    batch's own rows.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        valid = batch.filter(is_valid(F.col("rvr")) & F.col("ts").isNotNull()).select("zone", "ts", "rvr")
+        valid.write.mode("overwrite").parquet(f"{path}/readings/batch_id={batch_id}")
+        stored = spark.read.parquet(f"{path}/readings").filter(F.col("batch_id") <= batch_id)
+        from_ts = stored.filter(F.col("batch_id") == batch_id).groupBy("zone").agg(F.min("ts").alias("from_ts"))
+        once = stored.groupBy("zone", "ts").agg(F.min("rvr").alias("rvr")).join(from_ts, "zone")
+        before = last_n(once.filter(F.col("ts") < F.col("from_ts")), depth - 1).drop("rank_from_end")
+        rows = valid_lag_features(once.filter(F.col("ts") >= F.col("from_ts")).unionByName(before).select("zone", "ts", "rvr"), depth=depth)
+        rows = rows.join(from_ts, "zone").filter(F.col("ts") >= F.col("from_ts")).drop("from_ts", "vidx")
+        rows.write.mode("overwrite").parquet(f"{path}/lags/batch_id={batch_id}")
+
+    return handle
 
 
-def _latest_version(spark: SparkSession, path: str) -> str | None:
-    """Newest committed version folder ``v=<batch id>`` of the latest table (a listing, no job)."""
+def _latest_version(spark: SparkSession, path: str, below: int) -> str | None:
+    """Newest committed version folder ``v=<batch id>`` under a batch id (a listing, no job)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -73,7 +120,7 @@ def _latest_version(spark: SparkSession, path: str) -> str | None:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            vs.append(int(name[2:]))
+            vs += [int(name[2:])] if int(name[2:]) < below else []
     return f"{path}/v={max(vs)}" if vs else None
 
 
@@ -93,6 +140,7 @@ def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
         fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(hpath):
             return
+        batch = batch.persist()     # read by the late table, the history and the latest table
         # rows too late to change emitted lags go to a side table instead of vanishing
         (batch.filter(F.col("late")).write.mode("overwrite")
          .parquet(f"{history_path}/late/batch_id={batch_id}"))
@@ -102,20 +150,19 @@ def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
         # one folder per batch id, overwritten on replay: history never holds a batch twice
         (scored.write.mode("overwrite").partitionBy("run_date")
          .parquet(f"{history_path}/data/batch_id={batch_id}"))
-        s = F.max_by(F.struct("ts", "value", "source"), "ts")
         cur = scored.select("zone", "ts", "value", "source")
-        prev = _latest_version(spark, latest_path)
+        prev = _latest_version(spark, latest_path, batch_id)
         if prev:
             cur = cur.unionByName(spark.read.parquet(prev))
-        latest = cur.groupBy("zone").agg(s.alias("s")).select("zone", "s.*")
-        latest.write.mode("overwrite").parquet(f"{latest_path}/v={batch_id}")
+        latest_per_key(cur).write.mode("overwrite").parquet(f"{latest_path}/v={batch_id}")
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(marker)
+        batch.unpersist()
 
     return handle
 
 
-def run_scoring_stream(spark: SparkSession, readings: DataFrame, coefs: DataFrame, base: str):
-    """T1-T5 wired together; returns the started query (availableNow trigger)."""
-    state = stream_state(readings)
+def run_scoring_stream(spark: SparkSession, readings: DataFrame, coefs: DataFrame, base: str, trigger: dict = ONCE):
+    """T1-T5 wired together; returns the started query.  The fit is computed once, not per batch."""
+    state, coefs = stream_state(readings), materialize(coefs)
     return (state.writeStream.foreachBatch(scoring_sink(coefs, f"{base}/history", f"{base}/latest"))
-            .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+            .option("checkpointLocation", f"{base}/_checkpoint").trigger(**trigger).start())
