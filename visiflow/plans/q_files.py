@@ -76,8 +76,9 @@ def wide_csv_roundtrip(spark, sf_dir):
     return long.filter(F.col("rvr").isNotNull()).select("ts", "zone", r4("rvr").alias("rvr"))
 
 
-RUNWAY_OF_ZONE = [("click", "RUNWAY-11"), ("error", "RUNWAY-28"), ("purchase", "RUNWAY-29"),
-                  ("signup", "RUNWAY-28L"), ("view", "RUNWAY10")]
+#: Raw runway names of the stand-in files; a zone that is not listed reports for the last one.
+RUNWAY_OF_ZONE = {"click": "RUNWAY-11", "error": "RUNWAY-28", "purchase": "RUNWAY-29", "signup": "RUNWAY-28L"}
+OTHER_RUNWAY = "RUNWAY10"
 
 
 @register("weather_clean", """
@@ -110,9 +111,11 @@ def weather_clean(spark, sf_dir):
     k = F.get_json_object("props", "$.k").try_cast("double")
     raw = e.select(F.date_format("ts", "dd/MM/yyyy").alias("Date"), F.date_format("ts", "HH:mm:ss").alias("Time"),
                    "event_type", "user_id", F.col("value"), k.alias("k"))
+    name = F.coalesce(*[F.when(F.col("event_type") == z, rw) for z, rw in RUNWAY_OF_ZONE.items()], F.lit(OTHER_RUNWAY))
+    raw = raw.withColumn("rw", name)
     names = dict(zip(C.WEATHER_CANONICAL, C.WEATHER_COLUMNS[2:]))
-    for zone, rw in RUNWAY_OF_ZONE:
-        z = raw.filter(F.col("event_type") == zone)
+    for rw in [*RUNWAY_OF_ZONE.values(), OTHER_RUNWAY]:
+        z = raw.filter(F.col("rw") == rw)
         (z.filter(F.col("user_id") % 2 == 0)
          .select("Date", "Time", F.col("value").alias(names["temperature"]), F.col("k").alias(names["humidity"]))
          .write.mode("overwrite").option("header", "true").csv(f"{base}/para/{rw}_2024"))
