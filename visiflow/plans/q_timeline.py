@@ -9,8 +9,10 @@ from visiflow.functions.geo import EARTH_RADIUS_M
 from visiflow.functions.names import part_of_zone, runway_of_zone
 from visiflow.functions.times import floor_minutes
 from visiflow.plans.catalog import register
-from visiflow.plans.timeline import timeline_features, timeline_rows
+from visiflow.plans.timeline import timeline_features, timeline_rows, write_timeline
+from visiflow.session import ensure_checkpoint_dir
 from visiflow.sources.readings import table
+from visiflow.streaming.jobs import run_dir
 
 ZONE_IDS = [z.replace(" ", "_").replace("(", "").replace(")", "") for z in C.ZONES]
 
@@ -24,7 +26,7 @@ def predictions_from_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     zid = F.element_at(F.array(*[F.lit(z) for z in ZONE_IDS]), (F.col("user_id") % 11 + 1).cast("int"))
     return (e.select(floor_minutes(F.col("ts")).alias("ts"), zid.alias("zone_id"), (F.col("value") * 10.0).alias("v"))
-            .groupBy("ts", "zone_id").agg(F.avg("v").alias("value")))
+            .groupBy("ts", "zone_id").agg(F.round(F.avg("v"), 4).alias("value")))
 
 
 def _pts_sql(dist_expr: str, suffix: str) -> str:
@@ -38,7 +40,7 @@ def _pts_sql(dist_expr: str, suffix: str) -> str:
 TIMELINE_SQL = f"""
 WITH p AS (
   SELECT time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) AS ts,
-         list_value({", ".join(f"'{z}'" for z in ZONE_IDS)})[user_id % 11 + 1] AS zone_id, avg(value * 10.0) AS value
+         list_value({", ".join(f"'{z}'" for z in ZONE_IDS)})[user_id % 11 + 1] AS zone_id, round(avg(value * 10.0), 4) AS value
   FROM events GROUP BY 1, 2
 ),
 h AS (SELECT * FROM p WHERE ts >= (SELECT min(ts) FROM p) AND ts <= (SELECT min(ts) FROM p) + INTERVAL 12 HOUR),
@@ -47,7 +49,7 @@ rw(runway, lat, lon, heading, length_m) AS (VALUES {", ".join(f"('{r}', {la!r},
 pts AS ({_pts_sql(repr(C.TDZ_DISTANCE_M), "TDZ")} UNION ALL {_pts_sql("length_m / 2.0", "MID")}),
 g AS (SELECT t.ts, proxy.display_zone, proxy.source_zone FROM (SELECT DISTINCT ts FROM h) t CROSS JOIN proxy),
 v AS (SELECT g.*, coalesce(h.value, 1000.0) AS val FROM g LEFT JOIN h ON h.ts = g.ts AND h.zone_id = g.source_zone)
-SELECT v.ts, strftime(v.ts, '%Y-%m-%dT%H:%M:%S') AS time, v.display_zone, v.source_zone, round(val, 1) AS rvr_value,
+SELECT v.ts, strftime(v.ts, '%Y-%m-%dT%H:%M:%S') AS time, v.display_zone, v.source_zone, CAST(round(CAST(val AS DECIMAL(18, 4)), 1) AS DOUBLE) AS rvr_value,
   CASE WHEN val >= 800 THEN 'Good' WHEN val >= 500 THEN 'Moderate' WHEN val >= 200 THEN 'Poor' ELSE 'Very Poor' END AS status,
   CASE WHEN val >= 800 THEN 'green' WHEN val >= 500 THEN 'orange' WHEN val >= 200 THEN 'red' ELSE 'darkred' END AS color,
   round(pts.lat, 6) AS lat, round(pts.lon, 6) AS lon
@@ -63,11 +65,22 @@ def timeline_rows_q(spark, sf_dir):
                        F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@register("timeline_json")
+@register("timeline_json", TIMELINE_SQL.replace("h AS (SELECT * FROM p WHERE ts >= (SELECT min(ts) FROM p) AND ts <= (SELECT min(ts) FROM p) + INTERVAL 12 HOUR)",
+                                                "h AS (SELECT * FROM p)")
+          .replace("SELECT v.ts, strftime", "SELECT 'Feature' AS type, 'Point' AS geometry, strftime").replace("v.source_zone, ", ""))
 def timeline_json_q(spark, sf_dir):
-    """F9 + S15: GeoJSON-like feature per time and display zone over the whole prediction table."""
+    """F9 + S15: GeoJSON-like features over the whole prediction table, written one a line and read back."""
+    ensure_checkpoint_dir(spark)
+    out = run_dir(spark, "timeline")
     rows = timeline_rows(predictions_from_events(spark, sf_dir), spark, None)
-    return timeline_features(rows)
+    write_timeline(timeline_features(rows), out)
+    kind = ("type string, geometry struct<type: string, coordinates: array<double>>, "
+            "properties struct<time: string, zone: string, rvr_value: double, status: string, color: string>")
+    f = spark.read.text(out).select(F.from_json("value", kind).alias("f")).select("f.*")
+    p = F.col("properties")
+    return f.select("type", F.col("geometry.type").alias("geometry"), p.time.alias("time"), p.zone.alias("display_zone"),
+                    p.rvr_value.alias("rvr_value"), p.status.alias("status"), p.color.alias("color"),
+                    F.round(F.col("geometry.coordinates")[1], 6).alias("lat"), F.round(F.col("geometry.coordinates")[0], 6).alias("lon"))
 
 
 @register("zone_parts", f"""
