@@ -10,17 +10,15 @@ import pytest
 import __spark_entry__ as E
 from conftest import SMALL
 
-FAST = ["bin_mean_10min", "status_band_counts", "valid_readings", "pivot_zones", "parse_log_roundtrip",
-        "multi_format_ts", "normalize_runway", "grid_index", "zone_grid", "lag_features", "rolling_strict",
-        "rolling_lenient", "calendar_features", "temporal_split", "cv_folds", "valid_lag_features",
-        "history_last_100", "feed_inner_join", "asof_nearest_30m", "asof_backward", "asof_forward",
-        "cross_zone_features", "latest_per_zone", "last_valid_per_zone", "zone_readiness", "horizon_window",
-        "persistence_metrics", "linear_ar1_metrics", "best_run_per_zone", "impute_median", "quantiles_per_zone",
-        "range_backfill", "fallback_chain", "linear_ar_forecast", "timeline_rows"]
+from visiflow.plans import catalog
+
+catalog.load_all()
+#: Every query of the sensor engine that has SQL beside it.
+NAMES = sorted(catalog.ORACLES)
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 3)
@@ -57,7 +55,7 @@ def test_every_query_has_docstring():
     assert all(DOCS[n] for n in DOCS)
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SMALL).toPandas()
     exp = duck.execute(E.oracle_sql()[name]).df()
