@@ -18,10 +18,11 @@ that missed every bucket still counts if its group holds both.
 
 Defined results: a text of fewer than k words, but not none, is one shingle; a
 null or empty text has no words and no link, also not to its like; rows that
-share a doc_id count as one document (a null doc_id is one such id); extra
-columns are ignored; an empty table gives no rows.  The exact comparison grows
+share a doc_id count as one document, of whose texts one is compared exactly
+(a null doc_id is one such id); extra columns are ignored; an empty table gives no rows.  The exact comparison grows
 with the square of the number of different texts in one group, in blocks of
-``BLOCK`` shingles; nothing else does.
+``BLOCK`` shingles; nothing else does.  Joins whose sides both grow with the
+corpus ask for a sort-merge join, so that none is broadcast at any size.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visiflow.llm.common import WHITE, Grams, mix, signed, text_chunks, word_hashes, word_spans, write_table
+from visiflow.llm.common import WHITE, Grams, drop_table, mix, signed, text_chunks, word_hashes, word_spans, write_table
 
 #: Shingles of one side of an exact comparison.
 BLOCK = 1_000_000
@@ -68,28 +69,13 @@ class Shingles:
         return self.grams.at(at, n), second.at(at, n)
 
 
-def text_classes(docs: DataFrame, k: int) -> DataFrame:
-    """id, k1, k2, n_words: the word sequence of every row with words."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for row, buf, off in text_chunks(batch.column("text")):
-                s = Shingles(buf, off, k)
-                k1, k2 = s.sequence()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + s.text]), pa.array(signed(k1)), pa.array(signed(k2)),
-                                                  pa.array(s.n[s.text])], names=["id", "k1", "k2", "n_words"])
-
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n_words long")
-
-
 def _orders(runs: int, depth: int) -> np.ndarray:
     rng = np.random.default_rng(23)
     return rng.integers(0, 1 << 63, (2, runs * depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def text_paths(docs: DataFrame, k: int, runs: int, depth: int) -> DataFrame:
-    """id, run, path (array: the bucket at every depth), sketch: ``runs`` rows of every text."""
+def signatures(docs: DataFrame, k: int, runs: int, depth: int) -> DataFrame:
+    """Per row with words: id, k1 and k2 (its word sequence), n_words, path (the bucket at every depth of every run), sketch."""
     orders = _orders(runs, depth)
 
     def run(batches):
@@ -99,6 +85,7 @@ def text_paths(docs: DataFrame, k: int, runs: int, depth: int) -> DataFrame:
                 s = Shingles(buf, off, k)
                 if not len(s.text):
                     continue
+                k1, k2 = s.sequence()
                 tokens = np.stack([np.minimum.reduceat((s.hashes ^ x) * m, s.cut) for x, m in orders.T], 1)
                 sketch = mix(tokens).astype(np.uint8)
                 n = len(s.text)
@@ -106,13 +93,12 @@ def text_paths(docs: DataFrame, k: int, runs: int, depth: int) -> DataFrame:
                 at = np.broadcast_to(np.arange(1, runs + 1, dtype=np.uint64), (n, runs))
                 for d in range(depth):
                     at = path[:, :, d] = mix(at * np.uint64(0x9E3779B97F4A7C15) + mix(tokens.reshape(n, runs, depth)[:, :, d]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n * runs + 1) * depth, pa.int32()), pa.array(signed(path.ravel())))
-                sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
-                each = np.repeat(np.arange(n), runs)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + s.text][each]), pa.array(np.tile(np.arange(runs, dtype=np.int32), n)),
-                                                  lists, sketches.take(pa.array(each))], names=["id", "run", "path", "sketch"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * runs * depth, pa.int32()), pa.array(signed(path.ravel())))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row + s.text]), pa.array(signed(k1)), pa.array(signed(k2)), pa.array(s.n[s.text]), lists,
+                     pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "k1", "k2", "n_words", "path", "sketch"])
 
-    return docs.mapInArrow(run, "id long, run int, path array<long>, sketch binary")
+    return docs.mapInArrow(run, "id long, k1 long, k2 long, n_words long, path array<long>, sketch binary")
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -156,13 +142,14 @@ def _bucket_edges(buckets: DataFrame, least: float) -> DataFrame:
     return buckets.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def path_edges(texts: DataFrame, k: int, runs: int, depth: int, bucket: int, least: float) -> DataFrame:
+def path_edges(texts: DataFrame, runs: int, depth: int, bucket: int, least: float) -> DataFrame:
     """Edges of all buckets; the recursion goes on while a bucket is too large."""
-    active = write_table(text_paths(texts, k, runs, depth), "paths").withColumn("at", F.element_at("path", 1))
+    own = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("path", r * depth + 1, depth).alias("path")))
+    active = texts.select("id", "sketch", F.explode(own).alias("r")).select("id", "sketch", "r.run", "r.path").withColumn("at", F.element_at("path", 1))
     parts = []
     for d in range(1, depth + 1):
         sizes = write_table(active.groupBy("at").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), f"buckets{d}")
-        ready = active.join(sizes if d == depth else sizes.filter(F.col("size") <= bucket), "at")
+        ready = active.join((sizes if d == depth else sizes.filter(F.col("size") <= bucket)).hint("merge"), "at")
         if d == depth:  # what is still too large meets block by block
             n = F.ceil(F.col("size") / bucket).cast("int")
             own = F.pmod(F.xxhash64("id", "run"), n).cast("int")
@@ -243,7 +230,8 @@ def _exact_links(blocks: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             out = {"id": [], "n_links": [], "parent": []}
             for k in range(len(batch)):
-                members = sorted(batch.column("members")[k].as_py(), key=lambda m: m["id"])
+                members = sorted(batch.column("members")[k].as_py(), key=lambda m: (m["id"], m["shingles"]))
+                members = [m for n, m in enumerate(members) if not n or m["id"] != members[n - 1]["id"]]
                 cross = batch.column("low")[k].as_py() != batch.column("high")[k].as_py()
                 ids, copies = np.array([m["id"] for m in members]), np.array([m["copies"] for m in members])
                 sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
@@ -268,16 +256,16 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     """doc_id, class_id (least doc_id of the connected group), n_links (other documents at the threshold or above)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
-    classes = write_table(text_classes(keyed, k).distinct(), "classes")
-    copies = write_table(classes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
-    members = write_table(classes.join(copies, ["k1", "k2"], "left").select(
-        "id", "n_words", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "members")
-
-    others = members.filter("id <> rep").select("id")
-    texts = keyed.join(others, "id", "left_anti")
     runs = runs_for(threshold, depth, recall)
     least = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / (runs * depth))
-    edges = path_edges(texts, k, runs, depth, bucket, least)
+    signed_texts = write_table(signatures(keyed, k, runs, depth), "signatures")
+    classes = signed_texts.select("id", "k1", "k2").distinct()
+    copies = write_table(classes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
+    known = write_table(signed_texts.join(copies.hint("merge"), ["k1", "k2"], "left").select(
+        "id", "n_words", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "path", "sketch"), "texts")
+    drop_table(signed_texts)
+    members = write_table(known.select("id", "n_words", "rep", "copies").distinct(), "members")
+    edges = path_edges(known.filter("id = rep"), runs, depth, bucket, least)
 
     groups = components(edges)
     reps = members.filter("id = rep").select("id", "copies", "n_words")
@@ -285,7 +273,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     blocks = sized.groupBy("grp").agg(F.ceil(F.sum("n_words") / BLOCK).cast("int").alias("blocks"))
     todo = write_table(sized.join(blocks, "grp").select("id", "copies", "grp", "blocks"), "groups")
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
-    sets = (_shingle_sets(keyed.join(todo, "id"), k).withColumn("own", own)
+    sets = (_shingle_sets(keyed.join(todo.hint("merge"), "id"), k).withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     pairs = (sets.groupBy("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
              .agg(F.collect_list(F.struct("id", "copies", "own", "shingles")).alias("members")).filter(F.size("members") > 1))
@@ -293,7 +281,9 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
 
     found = links.groupBy("id").agg(F.sum("n_links").alias("near"))
     roots = components(links.select(F.col("id").alias("a"), F.col("parent").alias("b")))
-    result = members.join(found.join(roots, "id", "left").select(F.col("id").alias("rep"), "near", "root"), "rep", "left")
+    # written, so that both sides of the next join are plain exchanges and a class of many copies can be split
+    of_rep = write_table(found.join(roots, "id", "left").select(F.col("id").alias("rep"), "near", "root"), "links-of-texts")
+    result = members.join(of_rep.hint("merge"), "rep", "left")
     result = result.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class"),
                                       F.max(F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id")).join(result, "id", "left")
