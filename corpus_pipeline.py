@@ -19,7 +19,7 @@ from visiflow.llm.common import read, write_table
 def _without(docs: DataFrame, decisions: DataFrame, dropped) -> DataFrame:
     """The rows of ``docs`` whose id has no decision ``dropped``."""
     ids = write_table(decisions.filter(dropped).select("doc_id").distinct(), "dropped")
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns)      # both sides grow with the corpus
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
