@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -264,6 +265,21 @@ def test_jaccard_join_equals_all_pairs(spark, bucket, block, monkeypatch):
         assert (r.class_id, r.n_links) == (want[r.doc_id] if r.doc_id is not None else (None, 0))
 
 
+def test_jaccard_join_bounds_blocks_by_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TEXTS", 50)
+    monkeypatch.setattr(jaccard_join, "CELLS", 700)
+    exact, seen = jaccard_join._exact_links, []
+    monkeypatch.setattr(jaccard_join, "_exact_links", lambda pairs, *rest: seen.append(pairs) or exact(pairs, *rest))
+    shared = prose(90, 14)
+    texts = [(k, f"{shared} last{k}") for k in range(400)] + [(1000 + k, prose(200 + k, 15)) for k in range(20)]
+    rows = jaccard_join.jaccard_groups(docs_of(spark, texts)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == {i: (0, 399) if i < 400 else (i, 0) for i, _ in texts}
+    assert max(len(r.members) for r in seen[0].select("members").collect()) <= 200
+    strips = list(jaccard_join.overlaps([np.arange(k % 5, 10, dtype=np.uint64) for k in range(60)]))
+    assert len(strips) > 1 and all(x.size <= 700 for _, x in strips)
+    assert np.concatenate([x for _, x in strips]).tolist() == [[10 - max(a % 5, b % 5) for b in range(60)] for a in range(60)]
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_groups(empty(spark)).count() == 0
 

@@ -21,13 +21,15 @@ null or empty text has no words and no link, also not to its like; rows that
 share a doc_id count as one document, of whose texts one is compared exactly
 (a null doc_id is one such id); extra columns are ignored; an empty table gives no rows.  The exact comparison grows
 with the square of the number of different texts in one group, in blocks of
-``BLOCK`` shingles; nothing else does.  Joins whose sides both grow with the
+about ``BLOCK`` words and ``TEXTS`` texts of which a task holds two, their
+overlaps in strips of ``CELLS`` pairs; nothing else does.  Joins whose sides both grow with the
 corpus ask for a sort-merge join, so that none is broadcast at any size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ from visiflow.llm.common import WHITE, Grams, drop_table, mix, signed, text_chun
 
 #: Shingles of one side of an exact comparison.
 BLOCK = 1_000_000
+#: Texts of one side of an exact comparison.
+TEXTS = 2000
+#: Pairs of texts whose overlaps are held at once.
+CELLS = 1 << 21
 #: Margin of the sketch comparison in standard deviations of its estimate.
 MARGIN = 3.5
 _NULL_ID = -(1 << 63)
@@ -200,11 +206,13 @@ def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "copies", "grp", "blocks", "text").mapInArrow(run, "id long, copies long, grp long, blocks int, shingles binary")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
+def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of all intersections in strips of about ``CELLS`` pairs: (first row, rows x sets)."""
     n = len(sets)
     if n == 2:
-        return np.array([[len(sets[0]), len(np.intersect1d(*sets, assume_unique=True))], [0, len(sets[1])]])
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        yield 0, np.array([[len(sets[0]), common], [common, len(sets[1])]])
+        return
     rows = np.repeat(np.arange(n), [len(x) for x in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
@@ -213,14 +221,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     rows, column = rows[keep], number[column[keep]]
     order = column.argsort(kind="stable")
     rows, column = rows[order], column[order]
-    out = np.zeros((n, n), np.float32)
-    step = max(64, (1 << 22) // n)
-    for a in range(0, int(shared.sum()), step):
-        i, j = np.searchsorted(column, [a, a + step])
-        part = np.zeros((n, step), np.float32)
-        part[rows[i:j], column[i:j] - a] = 1
-        out += part @ part.T
-    return out
+    high, step = max(1, CELLS // n), max(64, 2 * CELLS // n)
+    for first in range(0, n, high):
+        out = np.zeros((min(high, n - first), n), np.int32)
+        for a in range(0, int(shared.sum()), step):
+            i, j = np.searchsorted(column, [a, a + step])
+            part = np.zeros((n, step), np.float32)
+            part[rows[i:j], column[i:j] - a] = 1
+            out += (part[first:first + high] @ part.T).astype(np.int32)
+        yield first, out
 
 
 def _exact_links(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -236,16 +245,20 @@ def _exact_links(blocks: DataFrame, threshold: float) -> DataFrame:
                 ids, copies = np.array([m["id"] for m in members]), np.array([m["copies"] for m in members])
                 sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
                 own, size = np.array([m["own"] for m in members]), np.array([len(x) for x in sets])
-                common = overlaps(sets)
-                linked = np.triu(common >= threshold * (size[:, None] + size - common) - 1e-6, 1) & (ids[:, None] != ids)
-                if cross:
-                    linked &= own[:, None] != own
-                left, right = np.nonzero(linked)
-                links = np.bincount(left, copies[right], len(ids)) + np.bincount(right, copies[left], len(ids))
-                root = forest(len(ids), left, right)
+                at = np.arange(len(ids))
+                links, root = np.zeros(len(ids), np.int64), at
+                for first, common in overlaps(sets):
+                    some = at[first:first + len(common)]
+                    linked = (common >= threshold * (size[some, None] + size - common) - 1e-6) & (some[:, None] < at)
+                    if cross:
+                        linked &= own[some, None] != own
+                    left, right = np.nonzero(linked)
+                    left += first
+                    links += (np.bincount(left, copies[right], len(ids)) + np.bincount(right, copies[left], len(ids))).astype(np.int64)
+                    root = forest(len(ids), np.concatenate([left, at]), np.concatenate([right, root]))
                 some = np.flatnonzero(links)
                 out["id"].append(ids[some])
-                out["n_links"].append(links[some].astype(np.int64))
+                out["n_links"].append(links[some])
                 out["parent"].append(ids[root[some]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out.values()], names=list(out))
 
@@ -270,7 +283,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     groups = components(edges)
     reps = members.filter("id = rep").select("id", "copies", "n_words")
     sized = groups.join(reps, "id").withColumnRenamed("root", "grp")
-    blocks = sized.groupBy("grp").agg(F.ceil(F.sum("n_words") / BLOCK).cast("int").alias("blocks"))
+    blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_words") / BLOCK), F.ceil(F.count(F.lit(1)) / TEXTS)).cast("int").alias("blocks"))
     todo = write_table(sized.join(blocks, "grp").select("id", "copies", "grp", "blocks"), "groups")
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     sets = (_shingle_sets(keyed.join(todo.hint("merge"), "id"), k).withColumn("own", own)
