@@ -269,17 +269,31 @@ def test_jaccard_join_bounds_blocks_by_texts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TEXTS", 50)
     monkeypatch.setattr(jaccard_join, "CELLS", 700)
     exact, seen = jaccard_join._exact_links, []
-    monkeypatch.setattr(jaccard_join, "_exact_links", lambda pairs, *rest: seen.append(pairs) or exact(pairs, *rest))
+    monkeypatch.setattr(jaccard_join, "_exact_links", lambda pairs, *rest: seen.extend(pairs.select(F.size("members")).collect()) or exact(pairs, *rest))
     shared = prose(90, 14)
     texts = [(k, f"{shared} last{k}") for k in range(400)] + [(1000 + k, prose(200 + k, 15)) for k in range(20)]
     rows = jaccard_join.jaccard_groups(docs_of(spark, texts)).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == {i: (0, 399) if i < 400 else (i, 0) for i, _ in texts}
-    assert max(len(r.members) for r in seen[0].select("members").collect()) <= 200
+    assert max(r[0] for r in seen) <= 200
     strips = list(jaccard_join.overlaps([np.arange(k % 5, 10, dtype=np.uint64) for k in range(60)]))
     assert len(strips) > 1 and all(x.size <= 700 for _, x in strips)
     assert np.concatenate([x for _, x in strips]).tolist() == [[10 - max(a % 5, b % 5) for b in range(60)] for a in range(60)]
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    a, b, c = prose(301, 60), prose(302, 60), prose(303, 60)
+    texts = [(None, a), (5, a), (6, a), (None, b), (None, b), (7, b + " end"), (None, c), (None, c + " end"),
+             (8, prose(304, 60)), (8, prose(305, 60)), (9, prose(305, 60) + " end"), (None, None), (None, "")]
+    got = defaultdict(list)
+    for r in jaccard_join.jaccard_groups(docs_of(spark, texts).withColumn("own", F.col("text")), with_first=("own",)).collect():
+        got[r.doc_id, r.own].append((r.class_id, r.n_links, r.first))
+    assert got[None, a] == [(5, 2, False)] and got[5, a] == [(5, 2, True)] and got[6, a] == [(5, 2, False)]
+    assert got[None, b] == [(7, 2, False)] * 2 and got[7, b + " end"] == [(7, 2, True)]
+    assert sorted(got[None, c] + got[None, c + " end"]) == [(None, 1, False), (None, 1, True)]
+    assert got[8, prose(304, 60)] == [(8, 0, True)] and got[8, prose(305, 60)] == [(8, 1, True)] and got[9, prose(305, 60) + " end"] == [(8, 1, False)]
+    assert got[None, None] == got[None, ""] == [(None, 0, None)]
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_groups(empty(spark)).count() == 0
 

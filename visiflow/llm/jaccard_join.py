@@ -18,8 +18,12 @@ that missed every bucket still counts if its group holds both.
 
 Defined results: a text of fewer than k words, but not none, is one shingle; a
 null or empty text has no words and no link, also not to its like; rows that
-share a doc_id count as one document, of whose texts one is compared exactly
-(a null doc_id is one such id); extra columns are ignored; an empty table gives no rows.  The exact comparison grows
+share a doc_id and the words are one document, with other words they are
+different ones, and so is every row without a doc_id; class_id is null only
+where no document of the group has an id; extra columns are ignored; an empty
+table gives no rows.  Inside, every row has a number of its own, written with
+its text, and every different text that of its first row.
+The exact comparison grows
 with the square of the number of different texts in one group, in blocks of
 about ``BLOCK`` words and ``TEXTS`` texts of which a task holds two, their
 overlaps in strips of ``CELLS`` pairs; nothing else does.  Joins whose sides both grow with the
@@ -46,7 +50,6 @@ TEXTS = 2000
 CELLS = 1 << 21
 #: Margin of the sketch comparison in standard deviations of its estimate.
 MARGIN = 3.5
-_NULL_ID = -(1 << 63)
 
 
 def runs_for(threshold: float, depth: int, recall: float) -> int:
@@ -265,19 +268,29 @@ def _exact_links(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "id long, n_links long, parent long")
 
 
-def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999, depth: int = 4, bucket: int = 1000) -> DataFrame:
-    """doc_id, class_id (least doc_id of the connected group), n_links (other documents at the threshold or above)."""
+def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999, depth: int = 4, bucket: int = 1000,
+                   with_first: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, class_id (least doc_id of the connected group), n_links (other documents at the threshold or above).
+
+    ``with_first`` adds the named columns and ``first``: whether the row is the
+    one of its group with the least doc_id (a null one is the last; one row of
+    equal ones), null for a text without words.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
+    numbered = write_table(docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", *(with_first or ()), "text"), "numbered")
+    keyed = numbered.select("id", "text")
+    rows = write_table(numbered.drop("text"), "rows")
     runs = runs_for(threshold, depth, recall)
     least = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / (runs * depth))
     signed_texts = write_table(signatures(keyed, k, runs, depth), "signatures")
-    classes = signed_texts.select("id", "k1", "k2").distinct()
-    copies = write_table(classes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
-    known = write_table(signed_texts.join(copies.hint("merge"), ["k1", "k2"], "left").select(
-        "id", "n_words", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "path", "sketch"), "texts")
+    # one row a document: rows that share a doc_id and the words are one, a row without an id is one
+    own = F.when(F.col("doc_id").isNull(), F.col("id"))
+    documents = (signed_texts.select("id", "k1", "k2").join(rows.select("id", "doc_id").hint("merge"), "id")
+                 .groupBy("k1", "k2", "doc_id", own.alias("own")).agg(F.min("id").alias("id")))
+    copies = write_table(documents.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
+    known = write_table(signed_texts.join(copies.hint("merge"), ["k1", "k2"]).select("id", "n_words", "rep", "copies", "path", "sketch"), "texts")
     drop_table(signed_texts)
-    members = write_table(known.select("id", "n_words", "rep", "copies").distinct(), "members")
+    members = write_table(known.select("id", "n_words", "rep", "copies"), "members")
     edges = path_edges(known.filter("id = rep"), runs, depth, bucket, least)
 
     groups = components(edges)
@@ -291,14 +304,19 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     pairs = (sets.groupBy("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
              .agg(F.collect_list(F.struct("id", "copies", "own", "shingles")).alias("members")).filter(F.size("members") > 1))
     links = write_table(_exact_links(pairs.select("low", "high", "members"), threshold), "exact-links")
+    drop_table(numbered)
 
     found = links.groupBy("id").agg(F.sum("n_links").alias("near"))
     roots = components(links.select(F.col("id").alias("a"), F.col("parent").alias("b")))
     # written, so that both sides of the next join are plain exchanges and a class of many copies can be split
     of_rep = write_table(found.join(roots, "id", "left").select(F.col("id").alias("rep"), "near", "root"), "links-of-texts")
-    result = members.join(of_rep.hint("merge"), "rep", "left")
-    result = result.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class"),
-                                      F.max(F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id")).join(result, "id", "left")
-    best = F.coalesce("class", "id")
-    return rows.select("doc_id", F.when(best != _NULL_ID, best).cast(kind).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    linked = members.join(of_rep.hint("merge"), "rep", "left").select(
+        "id", F.coalesce("root", "rep").alias("class"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    placed = write_table(rows.join(linked.hint("merge"), "id", "left"), "placed")
+    # combined per task before they move: a class of any size is a few rows
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    classes = write_table(placed.filter("class is not null").groupBy("class").agg(F.min(order).alias("head")).select("class", "head"), "classes")
+    found = placed.join(classes.hint("merge"), "class", "left")
+    extra = [] if with_first is None else [*with_first, (F.col("head.id") == F.col("id")).alias("first")]
+    return found.select("doc_id", F.coalesce("head.doc_id", "doc_id").cast(kind).alias("class_id"),
+                        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), *extra)
