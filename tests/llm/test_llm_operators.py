@@ -407,6 +407,15 @@ def test_substring_dedup_equals_brute_force(spark, run, monkeypatch):
         assert (r.n_words, r.n_removed, r.kept_text) == want[r.doc_id], r.doc_id
 
 
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    shared, clean, twin = prose(71, 20, 10**6), prose(72, 40, 10**6), prose(73, 30, 10**6)
+    texts = [(1, shared), (None, clean), (None, shared + " tail"), (None, twin), (None, twin), (3, twin + " x"), (4, prose(74, 25, 10**6)),
+             (4, prose(75, 22, 10**6)), (5, prose(75, 22, 10**6) + " y"), (4, prose(74, 25, 10**6))]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs_of(spark, texts)).collect())
+    assert got == sorted([(1, 20, 20, ""), (0, 40, 0, clean), (0, 21, 0, shared + " tail"), (0, 30, 0, twin), (0, 30, 30, ""), (3, 31, 30, "x"),
+                          (4, 25, 0, texts[6][1]), (4, 25, 0, texts[6][1]), (4, 22, 0, texts[7][1]), (5, 23, 22, "y")])
+
+
 def test_substring_dedup_without_repeats(spark):
     rows = substring_dedup.remove_repeats(docs_of(spark, [(1, prose(1, 50, 10**6)), (None, None)])).collect()
     assert sorted((r.n_words, r.n_removed) for r in rows) == [(0, 0), (50, 0)]

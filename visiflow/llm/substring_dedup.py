@@ -20,8 +20,10 @@ first of equal windows that it has seen, so one hash has at most as many rows
 as there are runs of ``RUN`` windows.
 
 Defined results: a null or empty text has no words; texts of fewer than
-``window`` words keep all; a null doc_id sorts before all others; rows that
-repeat a doc_id count as one document, so a word removed in one goes in each;
+``window`` words keep all; rows that share a doc_id and the text are one
+document, with other texts they are different ones (the order among them is
+that of a hash of the text), and so is every row without a doc_id, which sorts
+before all others; words only go where a window covers them;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -184,11 +186,29 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame | None:
     return out
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text and id: a long per document, in the order of doc_id.
+
+    Where no two rows share a doc_id (a null one included) that is the id; else
+    the documents are sorted and numbered, and the rows written with the number.
+    """
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    if keyed.groupBy("id").count().filter("count > 1").isEmpty():
+        return keyed
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    rows = write_table(keyed.select("*", F.xxhash64("text").alias("kind"), alone.alias("alone")), "numbered")
+    order = rows.select("id", "kind", "alone").distinct().orderBy(F.col("alone") < 0, "id", "kind", "alone")
+    numbers = write_table(order.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    out = write_table(rows.join(numbers.hint("merge"), ["id", "kind", "alone"]).select("doc_id", F.col("number").alias("id"), "text"), "documents")
+    drop_table(rows)
+    return out
+
+
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one blank)."""
     if window % 4:
         raise ValueError("window must be a multiple of four")
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = _documents(docs)
     starts = later_windows(keyed.select("id", "text"), window)
     joined = keyed.join(starts, "id", "left") if starts is not None else keyed.withColumn("starts", F.lit(None).cast("array<int>"))
     kind = docs.schema["doc_id"].dataType.simpleString()
