@@ -195,6 +195,17 @@ def test_contamination_blocks_and_proximity(spark):
            {i: (sorted(map(tuple, r.matches)), r.near_items) for i, r in rows.items()}
 
 
+def test_contamination_blocks_of_null_and_repeated_ids(spark):
+    item, other = prose(61, 25), prose(62, 12)
+    texts = [(None, "x " + item), (None, "clean words"), (None, other), (7, item), (7, "clean words too"), (8, other + " and " + item)]
+    bench = spark.createDataFrame([(1, " ".join(item.split()[:14])), (2, other), (1, " ".join(item.split()[8:])), (1, other.split()[3] + " zz " + other.split()[5]),
+                                   (1, " ".join(reversed(other.split()))), (None, other)], "item_id long, text string")
+    whole, parts = ([(r.doc_id, r.n_words, sorted(map(str, r.matches)), r.near_items) for r in
+                     decontam.find_contamination(docs_of(spark, texts), bench, block_items=n).collect()] for n in (100, 1))
+    assert len(parts) == len(texts) and sorted(map(str, whole)) == sorted(map(str, parts))
+    assert any(near for *_, near in whole)
+
+
 # -- licenses ---------------------------------------------------------------------------------------------------------
 
 def test_license_scan_equals_all_windows(spark):

@@ -25,7 +25,7 @@ never split, so a task holds at least its longest text.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,8 @@ CANDIDATES = 1 << 20
 #: Byte -> byte: lower case, and a blank for all that stands between words.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
-SEGMENT = "doc_ids binary, null_ids binary, n_words binary, terms binary, starts binary, postings binary"
-FOUND = "doc_id long, n_words long, matches array<struct<item_id:long,start:int,end:int>>, near_items array<long>"
+SEGMENT = "doc_ids binary, null_ids binary, keys binary, n_words binary, terms binary, starts binary, postings binary"
+FOUND = "doc_id long, key long, n_words long, matches array<struct<item_id:long,start:int,end:int>>, near_items array<long>"
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int) -> Data
     def run(batches):
         get = vocabulary.get
         for batch in batches:
-            ids, text = batch.column("doc_id").cast(pa.int64()), batch.column("text")
+            ids, keys, text = batch.column("doc_id").cast(pa.int64()), batch.column("key"), batch.column("text")
             for row, buf, off in text_chunks(text, SEGMENT_BYTES):
                 data, terms, lens = buf.tobytes(), [], []
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
@@ -99,11 +99,11 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int) -> Data
                 here = ids.slice(row, len(lens))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], pa.binary()) for x in (
-                        _pack(here.fill_null(0), np.int64), _pack(here.is_null(), bool), _pack(lens, np.int64),
+                        _pack(here.fill_null(0), np.int64), _pack(here.is_null(), bool), _pack(keys.slice(row, len(lens)), np.int64), _pack(lens, np.int64),
                         _pack(distinct, np.int32), _pack(starts, np.int32), _pack(place[order], np.int32 if base[-1] + lens[-1] < 2**31 else np.int64))],
-                    names=["doc_ids", "null_ids", "n_words", "terms", "starts", "postings"])
+                    names=["doc_ids", "null_ids", "keys", "n_words", "terms", "starts", "postings"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
+    return docs.select("doc_id", "key", "text").mapInArrow(run, SEGMENT)
 
 
 def _runs(live: np.ndarray, size: np.ndarray):
@@ -120,7 +120,7 @@ class Segment:
 
     def __init__(self, row: dict, gap: int):
         self.doc_ids = [None if null else i for i, null in zip(np.frombuffer(row["doc_ids"], np.int64).tolist(), np.frombuffer(row["null_ids"], bool))]
-        self.n_words = np.frombuffer(row["n_words"], np.int64)
+        self.keys_of, self.n_words = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["n_words"], np.int64)
         terms, starts = np.frombuffer(row["terms"], np.int32).astype(np.int64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
         total = int(self.n_words.sum()) + gap * len(self.n_words)
         places = np.frombuffer(row["postings"], np.int32 if total - gap < 2**31 else np.int64).astype(np.int64)
@@ -209,11 +209,11 @@ def _found(segment: Segment, items: Items, slop: int | None) -> pa.RecordBatch:
     for d, w in pairs.T.tolist():
         near[d].update(i for i in items.items[w] if i not in matches[d] and i is not None)
     return pa.RecordBatch.from_arrays(
-        [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.n_words, pa.int64()),
+        [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.keys_of), pa.array(segment.n_words, pa.int64()),
          pa.array([[{"item_id": i, "start": a, "end": b} for i, spans in m.items() for a, b in spans] for m in matches],
                   pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))),
          pa.array([sorted(x) for x in near], pa.list_(pa.int64()))],
-        names=["doc_id", "n_words", "matches", "near_items"])
+        names=["doc_id", "key", "n_words", "matches", "near_items"])
 
 
 def search_block(docs: DataFrame, rows: list[tuple[int | None, str | None]], window: int, slop: int | None) -> DataFrame:
@@ -230,25 +230,42 @@ def search_block(docs: DataFrame, rows: list[tuple[int | None, str | None]], win
     return index.mapInArrow(run, FOUND)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = 5, block_items: int = 20_000) -> DataFrame:
-    """Per document row: doc_id, n_words, matches (item, first word, end word) and near_items.
+def _merged(matches: Column) -> Column:
+    """Match intervals of several blocks, those of one item that meet as one."""
+    last = lambda out: F.element_at(out, -1)
+    joined = lambda out, m: F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
+        m.item_id.alias("item_id"), last(out).start.alias("start"), F.greatest(last(out).end, m.end).alias("end"))))
+    return F.aggregate(F.sort_array(matches), F.slice(matches, 1, 0), lambda out, m: F.when(
+        (F.size(out) > 0) & F.try_element_at(out, F.lit(-1)).item_id.eqNullSafe(m.item_id) & (m.start <= F.try_element_at(out, F.lit(-1)).end),
+        joined(out, m)).otherwise(F.concat(out, F.array(m))))
 
-    Items come to the driver a block at a time.  With several blocks the parts
-    are put together by doc_id (rows that repeat an id then become one).
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = 5, block_items: int = 20_000,
+                       key: str | None = None) -> DataFrame:
+    """Per document row: doc_id, n_words, matches (item, first word, end word) and near_items; and the long column ``key``, if one is named.
+
+    Items come to the driver a block at a time.  With several blocks the rows
+    are numbered first, and the parts are put together by that number.
     """
-    parts, block = [], []
-    for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
-            parts.append(search_block(docs, block, window, slop))
-            block = []
-    if block or not parts:
-        parts.append(search_block(docs, block, window, slop))
-    if len(parts) == 1:
-        return parts[0]
-    return (reduce(DataFrame.unionByName, parts).groupBy("doc_id")
-            .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"),
-                 F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items")))
+    out = ["doc_id", *([key] if key else []), "n_words", "matches", "near_items"]
+    docs = docs.select("doc_id", (F.col(key) if key else F.lit(0)).cast("long").alias("key"), "text")
+    rows = map(tuple, items.select(F.col("item_id").cast("long"), "text").toLocalIterator())
+    block, ahead = list(islice(rows, block_items)), list(islice(rows, 1))
+    if not ahead:
+        found = search_block(docs, block, window, slop)
+        return (found.withColumnRenamed("key", key) if key else found).select(*out)
+    numbered = write_table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    by_row, parts = numbered.select("doc_id", F.col("row").alias("key"), "text"), []
+    while block:
+        parts.append(search_block(by_row, block, window, slop))
+        block, ahead = ahead + list(islice(rows, block_items - len(ahead))), []
+    every = (reduce(DataFrame.unionByName, parts).withColumnRenamed("key", "row").groupBy("row")
+             .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"),
+                  F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"))
+             .withColumn("near_items", F.sort_array(F.array_except("near_items", F.transform("matches", lambda m: m.item_id))))
+             .withColumn("matches", _merged(F.col("matches"))))
+    names = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("key").alias(key or "key"))
+    return names.join(every.hint("merge"), "row").select(*out)
 
 
 def hit_words(matches: Column) -> Column:

@@ -62,12 +62,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: words hit, items found, verdict."""
-    found = decontam.find_contamination(docs, items)
+def contamination(docs: DataFrame, items: DataFrame, key: str | None = None) -> DataFrame:
+    """One row per document: words hit, items found, verdict; and the column ``key``, if one is named."""
+    found = decontam.find_contamination(docs, items, key=key)
     ids = F.sort_array(F.array_distinct(F.transform(F.filter("matches", lambda m: m.item_id.isNotNull()), lambda m: m.item_id.cast("string"))))
     hit = decontam.hit_words(F.col("matches")).cast("long")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+    return found.select("doc_id", *([key] if key else []), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
                         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
                         F.size("near_items").cast("long").alias("n_near"))
 
