@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; ``run`` writes each result as Parquet in the shared folder
-and reads it again as the next stage's ``docs``.  Documents that a stage drops
-are named by doc_id; a row without one is never dropped.
+and reads it again as the next stage's ``docs``.  Rows that a stage drops are
+named by doc_id (null-safe) and a hash of the whole row, so that a decision
+holds for rows without an id and not for others that share one.
 """
 
 from __future__ import annotations
@@ -13,29 +14,43 @@ from pyspark.sql import functions as F
 
 from visiflow.llm import jaccard_join, pii, quality_cotrain
 from visiflow.llm import queries as llm
-from visiflow.llm.common import read, write_table
+from visiflow.llm.common import read, row_key, write_table
 
 
-def _without(docs: DataFrame, decisions: DataFrame, dropped) -> DataFrame:
-    """The rows of ``docs`` whose id has no decision ``dropped``."""
-    ids = write_table(decisions.filter(dropped).select("doc_id").distinct(), "dropped")
-    return docs.join(ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns)      # both sides grow with the corpus
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", row_key(docs))
+
+
+def _without(keyed: DataFrame, decisions: DataFrame, dropped) -> DataFrame:
+    """The rows of ``keyed`` (doc_id, _key) without a decision ``dropped``."""
+    gone = write_table(decisions.filter(dropped).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).distinct(), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
+    return keyed.join(gone.hint("merge"), same, "left_anti").drop("_key")      # both sides grow with the corpus
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    return _without(docs, quality_cotrain.score_quality(docs, read(spark, sf_dir, "labels")), ~F.col("kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, quality_cotrain.score_quality(keyed, read(spark, sf_dir, "labels"), also=("_key",)), ~F.col("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once."""
-    left = _without(docs, jaccard_join.jaccard_groups(docs), F.col("doc_id") != F.col("class_id"))
-    return left.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    """Of each group of near duplicates the document with the least id stays, once (one without an id only if none has one).
+
+    Rows without words are no near duplicates: those that share an id and the text stay once, those without an id all stay.
+    """
+    keyed = _keyed(docs)
+    rows = jaccard_join.jaccard_groups(keyed, with_first=("_key",)).filter("first is not null")
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    left = _without(keyed.filter(~alone), rows.groupBy("doc_id", "_key").agg(F.max("first").alias("stays")), ~F.col("stays"))
+    once = left.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return once.unionByName(docs.filter(alone))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
-    return _without(docs, llm.contamination(docs, read(spark, sf_dir, "benchmark")), F.col("contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, llm.contamination(keyed, read(spark, sf_dir, "benchmark"), key="_key"), F.col("contaminated"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

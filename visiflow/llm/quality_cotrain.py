@@ -56,9 +56,9 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(pairs), classes, shape], 1).astype(np.float32)
 
 
-def with_text_view(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_chars and the text view ``text_x``."""
-    keep = ["doc_id", "lang", "source", "n_chars"]
+def with_text_view(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, n_chars, the columns ``also`` and the text view ``text_x``."""
+    keep = ["doc_id", "lang", "source", "n_chars", *also]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches):
@@ -81,10 +81,10 @@ def metadata_view() -> Column:
     return F.concat(one_hot("source", SOURCES), one_hot("lang", LANGS), rest)
 
 
-def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_x, meta_x, label (null: none) and ``held`` (labelled, for calibration)."""
+def features(docs: DataFrame, labels: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``also``, text_x, meta_x, label (null: none) and ``held`` (labelled, for calibration)."""
     known = labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    rows = with_text_view(docs).withColumn("meta_x", metadata_view()).drop("source", "lang", "n_chars")
+    rows = with_text_view(docs, also).withColumn("meta_x", metadata_view()).drop("source", "lang", "n_chars")
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
     return rows.join(known, "doc_id", "left").withColumn("held", F.col("label").isNotNull() & held)
 
@@ -118,13 +118,13 @@ def _probability(odds: str | Column) -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.98, pseudo_weight: float = 0.5,
-                  keep_from: float = 0.5, reg: float = 1e-4, iterations: int = 30) -> DataFrame:
-    """doc_id, text_score, meta_score, score (probability of quality 1) and kept (score >= ``keep_from``)."""
-    rows = write_table(features(docs, labels), "quality-views")
+                  keep_from: float = 0.5, reg: float = 1e-4, iterations: int = 30, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``also``, text_score, meta_score, score (probability of quality 1) and kept (score >= ``keep_from``)."""
+    rows = write_table(features(docs, labels, also), "quality-views")
     counts = {(r["held"], r["label"]): r["n"] for r in rows.filter("label is not null").groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = F.lit(None).cast("double")
     if any(not counts.get((held, label)) for held in (False, True) for label in (0.0, 1.0)):
-        return rows.select("doc_id", none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("kept"))
+        return rows.select("doc_id", *also, none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("kept"))
     prior = float(np.log(counts[False, 1.0] / counts[False, 0.0]))
 
     train = rows.filter("label is not null and not held").withColumn("weight", F.lit(1.0))
@@ -143,5 +143,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: flo
     meta.fit(for_meta, held)
     scored = meta.odds(text.odds(rows, "text_odds"), "meta_odds")
     score = _probability(F.col("text_odds") + F.col("meta_odds") - prior)
-    return scored.select("doc_id", _probability("text_odds").alias("text_score"), _probability("meta_odds").alias("meta_score"),
+    return scored.select("doc_id", *also, _probability("text_odds").alias("text_score"), _probability("meta_odds").alias("meta_score"),
                          score.alias("score"), (score >= keep_from).alias("kept"))
