@@ -130,3 +130,19 @@ def test_model_forecast_steps(spark):
     rows = out.collect()
     assert len(rows) == 2 * len(models)
     assert all(r.rvr is not None for r in rows)
+
+
+def test_tuned_model_runs_all_fixed_runs_and_the_whole_search(spark, monkeypatch):
+    from visiflow import config as C
+    from visiflow.plans import q_models
+    seen = {}
+
+    def train_all(spark, table, zones, spec, **given):
+        seen.update(given)
+        return spark.createDataFrame([("z", 1)], "zone string, features int"), {}
+
+    monkeypatch.setattr(q_models, "_setup", lambda spark, sf_dir: (None, [], None))
+    monkeypatch.setattr(q_models, "train_all", train_all)
+    monkeypatch.setattr(q_models, "best_runs", lambda log: log)
+    q_models.tuned_model(spark, "")
+    assert list(seen["tree_counts"]) == [10, 25, 20] and seen["grid"] == C.PARAM_GRID and seen["draws"] == 50 and seen["tune"]
