@@ -64,3 +64,17 @@ def test_query_matches_oracle(spark, duck, name):
     assert gc == ec
     assert len(gr) == len(er)
     assert gr == er
+
+
+@pytest.mark.parametrize("name", ["stream_valid_lags", "stream_nowcast"])
+def test_streams_of_two_overlapping_files_equal_the_sql(spark, duck, tmp_path, monkeypatch, name):
+    from pyspark.sql import functions as F
+    from visiflow.plans import q_stream
+    for part in (1, 0):
+        spark.read.parquet(f"{SMALL}/events.parquet").filter(F.col("event_id") % 2 == part).coalesce(1).write.parquet(f"{tmp_path}/p={part}")
+    raw = (spark.readStream.schema(q_stream.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", "*.parquet").parquet(str(tmp_path)))
+    stream = raw.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("zone"), (F.col("value") * 10.0).alias("rvr"))
+    monkeypatch.setattr(q_stream, "readings_stream", lambda *_: stream)
+    got, want = catalog.QUERIES[name](spark, SMALL).toPandas(), duck.execute(catalog.ORACLES[name]).df()
+    assert _rows(got) == _rows(want)

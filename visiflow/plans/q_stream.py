@@ -16,7 +16,7 @@ from visiflow.plans.sql import BINS, VALID, with_
 from visiflow.session import ensure_checkpoint_dir
 from visiflow.sources.readings import readings_from_events, table
 from visiflow.streaming.jobs import (EVENTS_SCHEMA, ONCE, lag_table_sink, newest_version, readings_stream, run_dir, run_scoring_stream,
-                                     stream_bins, stream_latest, stream_state, versioned_sink, write_parquet_stream)
+                                     stream_bins, stream_latest, versioned_sink)
 
 
 def r4(c):
@@ -54,12 +54,13 @@ def stream_lags_out_of_order(spark, sf_dir):
 
 @register("stream_valid_lags", ORACLES["valid_lag_features"])
 def stream_valid_lags(spark, sf_dir):
-    """Keyed streaming state of the last four valid readings; equals the batch valid-lag table."""
+    """Lags of the last valid readings per zone, kept up by the stream; equals the batch valid-lag table in any order of arrival."""
     ensure_checkpoint_dir(spark)
     base = run_dir(spark, "state")
-    q = write_parquet_stream(stream_state(readings_stream(spark, sf_dir)), f"{base}/out", f"{base}/_checkpoint")
+    q = (readings_stream(spark, sf_dir).writeStream.foreachBatch(lag_table_sink(f"{base}/table"))
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(**ONCE).start())
     q.awaitTermination()
-    out = spark.read.parquet(f"{base}/out").filter(~F.col("late"))
+    out = newest_version(spark, f"{base}/table/lags", ["zone", "ts"])
     return out.select("ts", "zone", r4("rvr").alias("rvr"), *[r4(f"lag_{k}").alias(f"lag_{k}") for k in (1, 2, 3)],
                       "ready")
 
@@ -100,4 +101,4 @@ def stream_nowcast(spark, sf_dir):
     past = readings_from_events(spark, sf_dir).filter(F.col("ts") < F.lit(FIT_BEFORE).cast("timestamp_ntz"))
     q = run_scoring_stream(spark, readings_stream(spark, sf_dir), fit_linear_nowcast(valid_lag_features(past)), base)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/history/data").select("zone", "ts", r4("value").alias("value"), "source")
+    return newest_version(spark, f"{base}/history/data", ["zone", "ts"]).select("zone", "ts", r4("value").alias("value"), "source")

@@ -152,8 +152,8 @@ def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
          .parquet(f"{history_path}/data/batch_id={batch_id}"))
         cur = scored.select("zone", "ts", "value", "source")
         prev = _latest_version(spark, latest_path, batch_id)
-        if prev:
-            cur = cur.unionByName(spark.read.parquet(prev))
+        if prev:    # a reading scored again replaces its earlier value
+            cur = cur.unionByName(spark.read.parquet(prev).join(cur.select("zone", "ts"), ["zone", "ts"], "left_anti"))
         latest_per_key(cur).write.mode("overwrite").parquet(f"{latest_path}/v={batch_id}")
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(marker)
         batch.unpersist()
@@ -162,7 +162,17 @@ def scoring_sink(coefs: DataFrame, history_path: str, latest_path: str):
 
 
 def run_scoring_stream(spark: SparkSession, readings: DataFrame, coefs: DataFrame, base: str, trigger: dict = ONCE):
-    """T1-T5 wired together; returns the started query.  The fit is computed once, not per batch."""
-    state, coefs = stream_state(readings), materialize(coefs)
-    return (state.writeStream.foreachBatch(scoring_sink(coefs, f"{base}/history", f"{base}/latest"))
+    """T1-T5 wired together; returns the started query.  The fit is computed once, not per batch.
+
+    Every batch scores the rows of the lag table that it adds or corrects, so
+    readings in any order of arrival count; ``newest_version`` reads the history.
+    """
+    table = f"{base}/table"
+    lags, score = lag_table_sink(table), scoring_sink(materialize(coefs), f"{base}/history", f"{base}/latest")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        lags(batch, batch_id)
+        score(batch.sparkSession.read.parquet(f"{table}/lags/batch_id={batch_id}").withColumn("late", F.lit(False)), batch_id)
+
+    return (readings.writeStream.foreachBatch(handle)
             .option("checkpointLocation", f"{base}/_checkpoint").trigger(**trigger).start())
