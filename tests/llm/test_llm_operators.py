@@ -234,6 +234,15 @@ def test_license_scan_equals_all_windows(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_license_bands_reach_the_recall_at_the_containment():
+    matcher = licenses.Matcher(licenses.TEMPLATES, 0.8, 0.999)
+    for tier, some in matcher.tiers.items():
+        for k in some:
+            m = len(matcher.sets[k])
+            n = -(-4 * m // 5)
+            assert (1 - n / (2 * tier + m - n)) ** len(matcher.orders[tier]) <= 0.001
+
+
 # -- Jaccard join -----------------------------------------------------------------------------------------------------
 
 def groups_of(texts):

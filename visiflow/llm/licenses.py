@@ -2,9 +2,10 @@
 
 A template of n words belongs to the tier L, the least power of two >= n (8 at
 least).  Texts are read in windows of 2L words that start every L words, so
-every occurrence of a template lies in one window of its tier.  The shingles of
-a template that stands in a window are a known share J of the window's, at
-least (L/2 - 3) / 2L; one minimum under each of b random orders is one band, and
+every occurrence of a template lies in one window of its tier.  A window that
+holds n of a template's m shingles, just enough for ``containment``, shares at
+least J = n / (2L + m - n) with it, for the m of the tier at which that is
+least (m is L/2 - 3 or more); one minimum under each of b random orders is one band, and
 b = ceil(ln(1 - p) / ln(1 - J)) bands meet with probability p (``recall``).  A
 retrieved template counts if at least ``containment`` of its shingles are in
 the window (all of them compared).
@@ -61,8 +62,12 @@ TEMPLATES = {
 }
 
 
-def bands_for(tier: int, recall: float) -> int:
-    share = max(1, tier // 2 - 3) / (2 * tier)
+def bands_for(tier: int, recall: float, containment: float, fewest: int | None = None) -> int:
+    """Bands for every match that the exact check accepts; ``fewest`` different shingles of a template, if below those of its words."""
+    least = max(1, tier // 2 - 3)
+    shingles = range(least if fewest is None else min(least, fewest), max(2, tier - 3))
+    needed = [max(1, math.ceil(containment * m - 1e-9)) for m in shingles]
+    share = min(n / (2 * tier + m - n) for m, n in zip(shingles, needed))
     return math.ceil(math.log(1 - recall) / math.log(1 - share))
 
 
@@ -96,7 +101,8 @@ class Matcher:
                 self.tiers.setdefault(tier, []).append(k)
             elif t.n[0]:  # fewer words than a shingle: one shingle of all of them
                 self.short.setdefault(int(t.n[0]), []).append((k, t.grams.at(np.array([0]), int(t.n[0]))[0]))
-        self.orders = {tier: rng.integers(0, 1 << 63, (bands_for(tier, recall), 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for tier in self.tiers}
+        self.orders = {tier: rng.integers(0, 1 << 63, (bands_for(tier, recall, containment, min(len(self.sets[k]) for k in some)), 2), dtype=np.uint64)
+                       * np.uint64(2) + np.uint64(1) for tier, some in self.tiers.items()}
 
     def find(self, t: Text) -> list[dict[int, tuple[float, int, int]]]:
         """Per text: template -> (containment, first word of the window, its end)."""
