@@ -176,3 +176,64 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN f USING (doc_id)
 """
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS t
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, any_value(t) AS t, count(*) AS a FROM g GROUP BY lang, k, phrase),
+size AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+parts AS MATERIALIZED (SELECT lang, k, phrase, a, j, array_to_string(t[1:j], ' ') AS lp, array_to_string(t[j + 1:], ' ') AS rp
+                       FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+cut AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.j) = 1
+),
+inside AS (
+  SELECT lang, phrase, max(a) AS whole FROM (
+    SELECT lang, a, unnest([array_to_string(t[1:2], ' '), array_to_string(t[2:3], ' ')]) AS phrase FROM cand WHERE k = 3) GROUP BY lang, phrase
+),
+kept AS (SELECT cut.* FROM cut LEFT JOIN inside i ON i.lang = cut.lang AND i.phrase = cut.phrase AND cut.k = 2
+         WHERE i.whole IS NULL OR 100 * i.whole < 50 * cut.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN size USING (lang) QUALIFY rank <= 2000
+"""
+
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) s(i)
+),
+runs AS (SELECT doc_id, run, count(*) AS c
+         FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT run, c, hex(encode(doc_id || ':' || run)) AS b FROM runs),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(b), 2), lambda k: ('0x' || substr(b, k, 2))::BIGINT)),
+    lambda s, x: xor(t[(xor(s, x) % 256) + 1], s >> 8)), 4294967295) AS h
+  FROM coded, crc_table
+),
+vocab AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+),
+gone AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+holes AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS p FROM gone),
+less AS (SELECT DISTINCT g.word, g.n, v.word AS near, v.n AS near_n FROM gone g JOIN vocab v ON v.word = substr(g.word, 1, i - 1) || substr(g.word, i + 1)),
+near AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.p = y.p AND x.word <> y.word
+  UNION ALL SELECT word, near, near_n FROM less UNION ALL SELECT near, word, n FROM less
+),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+  FROM vocab v LEFT JOIN best USING (word)
+),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM forms f
+JOIN (SELECT walk.word, walk.root FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NULL) w ON w.word = f.word
+"""

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiflow.llm import (bpe, decontam, jaccard_join, langid, licenses, pii, quality_cotrain, quality_rules,
-                          substring_dedup, warc)
+from visiflow.llm import (bpe, collocations, decontam, jaccard_join, langid, licenses, pii, quality_cotrain, quality_rules, spelling,
+                          substring_dedup, token_files, warc)
 from visiflow.llm import oracles
 from visiflow.llm.common import read
 from visiflow.session import shared_path
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def register(oracle: str | None = None):
@@ -122,3 +123,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels by co-training, and whether it is kept."""
     return quality_cotrain.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register(oracles.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of every language of documents."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@register(oracles.SPELLING)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of documents with its number of near words, its form and its root."""
+    forms = spelling.spelling_forms(spelling.vocabulary(read(spark, sf_dir, "documents")))
+    return forms.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@register()
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents as token ids in flat files, read back: where it starts, its length and checksum."""
+    folder = shared_path(spark, f"llm/tokens-{uuid.uuid4().hex}")
+    manifest = token_files.write_token_files(read(spark, sf_dir, "documents"), TOKENIZER, folder, end_id=1)
+    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
