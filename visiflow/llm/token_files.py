@@ -87,7 +87,7 @@ class Encoder:
             some = values[i:i + JOINED]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum([len(v) + 1 for v in some])
-            cut = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids)), ends).tolist()
+            cut = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), ends).tolist()
             ids = np.array(e.ids, self.dtype)
             out += [ids[a:b].tobytes() for a, b in zip([0, *cut], cut)]
         return out
@@ -124,13 +124,24 @@ class Encoder:
         return ids, np.diff(last, prepend=0)
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """The worker process's encoder: its pieces serve all tasks that it runs."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """Encode and write ``docs`` (doc_id, text) under ``folder``; the manifest with every file's ``base``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc()]
 
     def encode(batches):
-        coder, fs, root, name = Encoder(tokenizer, end_id), *pafs.FileSystem.from_uri(folder), f"part-{uuid.uuid4().hex}"
+        coder, fs, root, name = encoder(tokenizer, end_id), *pafs.FileSystem.from_uri(folder), f"part-{uuid.uuid4().hex}"
         files, total, n_docs, n_null, head = None, 0, 0, 0, None
         try:
             for batch in batches:
