@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from visiflow.llm.common import drop_table, mix, signed, text_chunks, word_hashes, word_spans, write_table
 
-DEPTH, BUDGET, EXTENDED, TEXT_BYTES = 3, 2 << 20, 1_000_000, 8 << 20
+DEPTH, BUDGET, EXTENDED, TEXT_BYTES = 3, 1 << 19, 1_000_000, 4 << 20
 NO_LANG = "und"
 #: What ends a piece, and what separates words inside it.
 PIECE_END = np.zeros(256, bool)
