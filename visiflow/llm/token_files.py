@@ -42,7 +42,7 @@ from tokenizers import Tokenizer
 from visiflow.llm.common import drop_table, text_chunks, word_spans, write_table
 
 #: Bytes of remembered pieces and their ids, and tokens that one reading task returns at once.
-CACHE_BYTES, PIECE_TOKENS = 96 << 20, 4 << 20
+CACHE_BYTES, PIECE_TOKENS = 256 << 20, 4 << 20
 #: Bytes of texts encoded at once, and new pieces that go through the library together.
 ENCODE_BYTES, JOINED = 4 << 20, 256
 BREAKS = np.zeros(256, bool)
@@ -75,6 +75,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -93,13 +94,21 @@ class Encoder:
         return out
 
     def pieces(self, values: list[str]) -> list[bytes]:
-        new = [v for v in values if v not in self.known]
-        found = dict(zip(new, self._joined(new)))
-        out = [self.known[v] if v in self.known else found[v] for v in values]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        self.known.update(found)
-        self.held += sum(len(v) + len(b) + 150 for v, b in found.items())
+        """Ids of pieces: from the newer or the older half of the memory, or from the library."""
+        known, older = self.known, self.older
+        new, kept = [], {}
+        for v in values:
+            if v not in known:
+                if v in older:
+                    kept[v] = older[v]
+                else:
+                    new.append(v)
+        kept.update(zip(new, self._joined(new)))
+        out = [known[v] if v in known else kept[v] for v in values]
+        known.update(kept)
+        self.held += sum(len(v) + len(b) + 190 for v, b in kept.items())
+        if self.held > CACHE_BYTES // 2:      # what was not used since the last turn goes
+            self.older, self.known, self.held = known, {}, 0
         return out
 
     def chunk(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
