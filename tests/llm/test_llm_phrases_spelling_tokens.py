@@ -64,10 +64,10 @@ def phrases_of(rows, min_count, percent, top):
 WORDS = ["the", "The", "of", "new", "york", "city", "a", "b", "ä", "x1", "|", "été"]
 
 
-@pytest.mark.parametrize("budget,extended,top", [(1 << 20, 1000, 2000), (60, 1000, 2000), (25, 1000, 7), (1, 4, 2000)])
-def test_collocations_equal_counting_all_phrases(spark, budget, extended, top):
+@pytest.mark.parametrize("budget,share,extended,top", [(1 << 20, 1, 1000, 2000), (60, 2, 1000, 2000), (25, 50, 1000, 7), (1, 4, 4, 2000)])
+def test_collocations_equal_counting_all_phrases(spark, budget, share, extended, top):
     rows = AWKWARD + [(100 + i, prose(i, 150, WORDS) + " new york city. " * 4, ["en", "de", None][i % 3]) for i in range(9)]
-    got = CO.collocations(docs_of(spark, rows), min_count=4, top=top, budget=budget, extended=extended).collect()
+    got = CO.collocations(docs_of(spark, rows), min_count=4, top=top, budget=budget, share=share, extended=extended).collect()
     assert sorted(tuple(r) for r in got) == phrases_of(rows, 4, 50, top)
 
 

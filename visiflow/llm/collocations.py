@@ -4,10 +4,11 @@ Texts are sequences of words cut into pieces; every word starts a suffix, cut
 off after ``DEPTH`` words.  The suffix tree is never built whole:
 
 1. Words are counted per language: the S-prefixes of one word.
-2. Prefixes are sized against the memory budget.  A word of more than
-   ``budget`` suffixes is extended to prefixes of two words, counted in one
-   more pass; such a pair to three.  What is left is dealt by a hash of its
-   prefix into groups of ``budget`` / 2 suffixes on average.
+2. Prefixes are sized against the memory budget.  A word of more suffixes
+   than the budget, or than one ``share``-th of all (so that no group is a large
+   part of the work), is extended to prefixes of two words, counted in one more
+   pass; such a pair to three.  What is left is dealt by a hash of its prefix
+   into groups of a quarter of the budget on average.
 3. A pass over the texts sends every suffix to its prefix's group, equal
    suffixes of one chunk of text combined, sorted, as one block per group.
 4. Each group builds its depth-truncated subtree on its own: its suffixes
@@ -25,8 +26,8 @@ Defined results: a null text has no words and adds no language; a null lang is
 ``und``; rows that repeat an id count each; extra columns are ignored; an empty
 table gives no rows.  A task holds a chunk of ``TEXT_BYTES`` (or one longer
 text), or the different leaves of one group.  The lists of extended prefixes
-have at most ``EXTENDED`` entries at every size, since the budget is at least
-one ``EXTENDED``-th of all suffixes.
+have at most ``EXTENDED`` entries at every size, since a prefix is only extended
+above one ``EXTENDED``-th of all suffixes (``share`` is smaller).
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from visiflow.llm.common import drop_table, mix, signed, text_chunks, word_hashes, word_spans, write_table
 
-DEPTH, BUDGET, EXTENDED, TEXT_BYTES = 3, 1 << 19, 1_000_000, 4 << 20
+DEPTH, BUDGET, SHARE, EXTENDED, TEXT_BYTES = 3, 1 << 20, 200, 1_000_000, 4 << 20
 NO_LANG = "und"
 #: What ends a piece, and what separates words inside it.
 PIECE_END = np.zeros(256, bool)
@@ -154,16 +155,18 @@ def _merge(leaves: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_phrases(docs: DataFrame, words: DataFrame, min_count: int, family: int = 0, budget: int = BUDGET, extended: int = EXTENDED) -> DataFrame:
+def count_phrases(docs: DataFrame, words: DataFrame, min_count: int, family: int = 0, budget: int = BUDGET, share: int = SHARE,
+                  extended: int = EXTENDED) -> DataFrame:
     """(h1, h2, h3, a): every phrase of two (h3 null) or three words with at least ``min_count`` occurrences."""
     total = words.agg(F.sum("n")).first()[0] or 0
     budget = max(budget, -(-total // extended))
-    groups = max(1, -(-2 * total // budget))
+    groups = max(1, -(-4 * total // budget))
+    most = min(budget, -(-total // share))      # suffixes that one prefix may have
     hashes = lambda rows: np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-    large = hashes(words.filter(F.col("n") > budget).select("h").collect())      # at most total / budget
+    large = hashes(words.filter(F.col("n") > most).select("h").collect())      # at most total / most
     larger = []
     if len(large):
-        larger = _pair_counts(docs, family, large).filter(F.col("a") > budget).collect()      # at most total / budget
+        larger = _pair_counts(docs, family, large).filter(F.col("a") > most).collect()      # at most total / most
     column = lambda k: np.array([r[k] for r in larger], np.int64).view(np.uint64)
     deep = np.sort(_pair(column(0), column(1)))      # chance equalities only split a prefix that need not be, see ``known``
     known = docs.sparkSession.createDataFrame([(r.h1, r.h2, None, r.a) for r in larger], "h1 long, h2 long, h3 long, a long")
@@ -221,13 +224,13 @@ def count_phrases(docs: DataFrame, words: DataFrame, min_count: int, family: int
         yield pa.RecordBatch.from_arrays([pa.array(x[inner]), pa.array(y[inner]), pa.nulls(int(inner.sum()), pa.int64()), pa.array(n[inner])], schema=node)
 
     def build(batches):
-        current, held, rows, limit = None, [], 0, 2 * budget
+        current, held, rows, limit = None, [], 0, budget // 2
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("leaves")):
                 if part != current:
                     if held:
                         yield from subtree(_merge(np.concatenate(held)))
-                    current, held, rows, limit = part, [], 0, 2 * budget
+                    current, held, rows, limit = part, [], 0, budget // 2
                 held.append(np.frombuffer(data.as_buffer(), LEAF).astype([*((x, "<u8") for x in "abc"), ("n", "<i8")]))
                 rows += len(held[-1])
                 if rows > limit:      # a suffix that nearly every chunk sends
@@ -251,7 +254,7 @@ def _score(a: str, left: str, right: str) -> Column:
 
 
 def collocations(docs: DataFrame, min_count: int = 10, explained_percent: int = 50, top: int = 2000, budget: int = BUDGET,
-                 extended: int = EXTENDED) -> DataFrame:
+                 share: int = SHARE, extended: int = EXTENDED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best-scoring phrases of two and three words of every language.
 
     A phrase is cut after its first k words where floor(10**6 a a / (l r)) is least (ties: smallest k).
@@ -264,7 +267,7 @@ def collocations(docs: DataFrame, min_count: int = 10, explained_percent: int =
         drop_table(words)
     else:
         raise ValueError("two words share a hash in both families")
-    phrases = write_table(count_phrases(docs, words, min_count, family, budget, extended), "phrases")
+    phrases = write_table(count_phrases(docs, words, min_count, family, budget, share, extended), "phrases")
     often = words.filter(F.col("n") >= min_count).select("lang", "h", F.col("n").alias("f"))
     two = (phrases.filter("h3 is null").select("h1", "h2", "a")
            .join(often.select(F.col("h").alias("h1"), "lang", F.col("f").alias("l")), "h1")
