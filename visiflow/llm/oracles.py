@@ -100,24 +100,24 @@ _CLASS_JS = " + ".join(f"{_half(p, q)} + {_half(q, p)}" for c in _NAMES
                        for p, q in [(f"(r_{c} / greatest({_REF}, 1))", f"(c_{c} / greatest({_TOTAL}, 1))")])
 
 QUALITY_RULES = rf"""
-WITH d AS (
-  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ),
-gram AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
-twice AS (SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
-line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-cc AS (SELECT doc_id, lang, {_class_counts()} FROM d),
+gram AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT rid, i FROM gram QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
+line AS (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n_dup FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+cc AS (SELECT rid, lang, {_class_counts()} FROM d),
 refs AS (SELECT lang, {", ".join(f"sum(c_{c}) AS r_{c}" for c in _NAMES)} FROM cc WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
 totals AS (SELECT lang, sum(len(w)) AS total FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
-lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM d WHERE lang IS NOT NULL),
+lw AS (SELECT rid, lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM d WHERE lang IS NOT NULL),
 top AS (SELECT lang, word, n / total AS p FROM (SELECT lang, word, count(*) AS n FROM lw GROUP BY lang, word) JOIN totals USING (lang)
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(word)) <= 50),
 known AS (SELECT lang, sum(p) AS known FROM top GROUP BY lang),
-seen AS (SELECT doc_id, p, n / len(w) AS q FROM (SELECT doc_id, word, p, count(*) AS n FROM lw JOIN top USING (lang, word) GROUP BY doc_id, word, p)
-         JOIN d USING (doc_id)),
-js AS (SELECT doc_id, sum({_half("p", "q")} + {_half("q", "p")}) AS js, sum(p) AS p_sum, sum(q) AS q_sum FROM seen GROUP BY doc_id),
+seen AS (SELECT rid, p, n / len(w) AS q FROM (SELECT rid, word, p, count(*) AS n FROM lw JOIN top USING (lang, word) GROUP BY rid, word, p)
+         JOIN d USING (rid)),
+js AS (SELECT rid, sum({_half("p", "q")} + {_half("q", "p")}) AS js, sum(p) AS p_sum, sum(q) AS q_sum FROM seen GROUP BY rid),
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
@@ -125,8 +125,8 @@ m AS (
     CASE WHEN len(w) >= 50 THEN sqrt(greatest(coalesce(js, 0) + (known - coalesce(p_sum, 0)) / 2
       + {_half("greatest(1 - known, 0)", "greatest(1 - coalesce(q_sum, 0), 0)")}
       + {_half("greatest(1 - coalesce(q_sum, 0), 0)", "greatest(1 - known, 0)")}, 0)) END AS word_distance
-  FROM d JOIN cc USING (doc_id) LEFT JOIN refs ON refs.lang = d.lang LEFT JOIN known ON known.lang = d.lang
-  LEFT JOIN js USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
+  FROM d JOIN cc USING (rid) LEFT JOIN refs ON refs.lang = d.lang LEFT JOIN known ON known.lang = d.lang
+  LEFT JOIN js USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   round(class_distance, 4) AS class_distance, round(word_distance, 4) AS word_distance,

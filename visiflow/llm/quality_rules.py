@@ -8,8 +8,9 @@ distance (base 2, 0 to 1).
 Defined results: a null text is empty; an empty text has no words and fails
 the base rule; a document with fewer than ``min_words`` words, or whose
 language is null or has fewer than ``min_docs`` documents, is not judged by
-divergence.  Rows that repeat a doc_id are judged together by divergence and
-each returned.  Extra columns are ignored.  An empty table gives no rows.
+divergence.  Every row is judged by its own text, whatever other rows share its
+doc_id or lack one too (rows are told apart by doc_id and a 64-bit hash of
+language and text).  Extra columns are ignored.  An empty table gives no rows.
 
 In-row work grows with the length of one text; the shuffles carry counts per
 (language, word) and per (document, common word), combined before they move.
@@ -35,9 +36,14 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+", -1))
 
 
+def _row() -> Column:
+    """Tells rows that share a doc_id apart; equal rows are one, which leaves their shares as they are."""
+    return F.xxhash64("lang", F.col("lang").isNull(), "text", F.col("text").isNull()).alias("row")
+
+
 def text_counts(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, the base counts and the character-class counts ``c_<class>``."""
-    df = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    """Per row: doc_id, row, lang, the base counts and the character-class counts ``c_<class>``."""
+    df = docs.select("doc_id", "lang", _row(), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", words_of(F.col("text")))
     df = df.withColumn("n_words", F.size("words").cast("long"))
     df = df.withColumn("grams", F.when(F.col("n_words") > WINDOW, F.transform(
@@ -55,7 +61,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
                           lambda a: a.n)
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     out = df.select(
-        "doc_id", "lang", "text", "n_words",
+        "doc_id", "row", "lang", "text", "n_words",
         F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"), F.when(n > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"))
@@ -86,14 +92,15 @@ def judge(docs: DataFrame, n_common: int = 50, min_docs: int = 20, min_words: in
     """Base counts, ``class_distance``, ``word_distance`` (null: not judged), ``base_failed`` and ``kept``."""
     counts = write_table(text_counts(docs), "rules")
     words = (docs.filter(F.col("lang").isNotNull())
-             .select("doc_id", "lang", F.explode(words_of(F.lower(F.coalesce("text", F.lit(""))))).alias("word")))
+             .select("doc_id", _row(), "lang", F.explode(words_of(F.lower(F.coalesce("text", F.lit(""))))).alias("word")))
     ref = write_table(word_references(words, counts.filter(F.col("lang").isNotNull()), n_common, min_docs), "common-words")
 
-    seen = words.join(ref, ["lang", "word"]).groupBy("doc_id", "word", "lang", "p").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_words").alias("all_words"))
+    seen = words.join(ref, ["lang", "word"]).groupBy("doc_id", "row", "word", "lang", "p").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("id_row")).agg(F.sum("n_words").alias("all_words"))
+    same = lambda doc, row: F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("row") == F.col(row))
     known = ref.groupBy("lang").agg(F.sum("p").alias("known"))
     q, rest = F.col("n") / F.col("all_words"), 1 - F.coalesce("q_sum", F.lit(0.0))
-    per_doc = (seen.drop("lang").join(sizes, F.col("doc_id").eqNullSafe(F.col("id"))).groupBy(F.col("doc_id").alias("of"))
+    per_doc = (seen.drop("lang").join(sizes, same("id", "id_row")).groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row"))
                .agg(F.sum(_half(F.col("p"), q) + _half(q, F.col("p"))).alias("js"), F.sum("p").alias("p_sum"), F.sum(q).alias("q_sum")))
     other, bare = F.greatest(1 - F.col("known"), F.lit(0.0)), F.greatest(rest, F.lit(0.0))
     word_js = (F.coalesce("js", F.lit(0.0)) + (F.col("known") - F.coalesce("p_sum", F.lit(0.0))) / 2 + _half(other, bare) + _half(bare, other))
@@ -108,7 +115,7 @@ def judge(docs: DataFrame, n_common: int = 50, min_docs: int = 20, min_words: in
     judged = F.col("n_words") >= min_words
     distance = lambda js: F.when(judged, F.sqrt(F.greatest(js, F.lit(0.0))))
     df = counts.join(chars.drop("docs"), "lang", "left").join(known, "lang", "left")
-    df = df.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    df = df.join(per_doc, same("of", "of_row"), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                     F.when(F.col(f"r_{names[0]}").isNotNull(), distance(class_js)).alias("class_distance"),
