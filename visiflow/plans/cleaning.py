@@ -66,8 +66,10 @@ def clean_weather(para: DataFrame, wind: DataFrame, out: str | None = None, per_
         return resample_per_source(df, measures, keys=["runway"], per_source=per_file)
 
     p, w = prep(para), prep(wind)
-    j = feed_join(p, w, ["runway", "ts"])       # the two feeds come from different files: both names are kept
-    final = project_final(j, [c for c in j.columns if c not in ("ts", "runway")])
+    # of a measure that both feeds deliver, the first feed's (para) is the final column
+    w = w.drop(*[c for c in C.WEATHER_CANONICAL if c in p.columns and c in w.columns])
+    j = feed_join(p, w, ["runway", "ts"])
+    final = project_final(j, keys=("ts", "runway", *[c for c in j.columns if c.startswith("source_file")]))
     if out:
         write_runway_year(final, out)
     return final

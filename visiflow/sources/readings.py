@@ -7,8 +7,12 @@ predicate pushdown are left to the scan.  Nothing is read on the driver.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,14 @@ def parse_log_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     return df.select(*keep, "ts", normalize_log_zone(zone_raw).alias("zone"), value.cast("double").alias("rvr"))
 
 
+def bad_log_line(text_col: str = "value") -> Column:
+    """Whether ``parse_log_lines`` drops a line: it is not blank and has the wrong shape or an impossible date."""
+    line = F.expr(f"btrim(`{text_col}`, ' \t\r\n')")
+    pat = C.LOG_LINE_PATTERN
+    at = F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(line, pat, 1), F.regexp_extract(line, pat, 2)), F.lit(C.LOG_TS_FORMAT))
+    return F.coalesce((line != "") & (~line.rlike(pat) | at.isNull()), F.lit(False))
+
+
 def scan_logs(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.txt`` below each all-digit year directory of ``root``.
 
@@ -100,7 +112,6 @@ def decoded_path(col: str) -> Column:
 
 
 def _re_escape(s: str) -> str:
-    import re
     return re.escape(s)
 
 
@@ -135,41 +146,98 @@ def read_wide_csv(spark: SparkSession, paths: list[str] | str, ts_col: str = "Da
     return wide_to_long(wide, ts_col, formats)
 
 
-def _csv_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+_CSV = "*.{csv,csv.gz}"
+#: One field of a CSV line: quoted (a doubled quote is one) or up to the next comma.
+_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
+def _csv_files(spark: SparkSession, paths: list[str] | str, glob: str = _CSV) -> DataFrame:
+    """``source_file`` of the CSV files below some paths: a listing, no file is read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true")
-            .text(paths).select(F.btrim("value", F.lit("\ufeff\r")).alias("value"), F.col("_metadata.file_path").alias("source_file")))
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths)
+            .select(F.col("_metadata.file_path").alias("source_file")))
+
+
+def readable_path(uri: str) -> str:
+    """A scan's percent-encoded file URI as a path to read, without wildcards."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def _csv_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    return (spark.read.text([readable_path(f) for f in files])
+            .select(F.btrim("value", F.lit("\ufeff\r")).alias("value"), F.col("_metadata.file_path").alias("source_file"),
+                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def _fields(value: Column) -> Column:
-    return F.transform(F.split(value, ","), lambda x: F.btrim(x, F.lit(' "')))
+    """Fields of one line, quotes taken off."""
+    bare = lambda x: F.replace(F.regexp_replace(F.btrim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.regexp_extract_all(value, F.lit(_FIELD), F.lit(1)), lambda x: F.btrim(bare(x)))
+
+
+def _headers(spark: SparkSession, files: list[str], required: list[str]) -> DataFrame:
+    """(source_file, names): the fields of every file's first line that names all ``required`` columns (null: none does)."""
+    if not files:
+        return spark.createDataFrame([], "source_file string, names array<string>")
+    lines = _csv_lines(spark, files).withColumn("names", _fields(F.col("value")))
+    named = F.size(F.array_except(F.array(*(F.lit(c) for c in required)), F.col("names"))) == 0
+    first = F.min(F.when(named, F.struct("block", "row", "names")))
+    return lines.groupBy("source_file").agg(first.alias("first")).select("source_file", F.col("first.names").alias("names"))
+
+
+def _sound_files(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    bad = {r["source_file"] for r in damaged_files(spark, paths).collect()}
+    return sorted(r["source_file"] for r in _csv_files(spark, paths).collect() if r["source_file"] not in bad)
+
+
+def damaged_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(source_file, error): compressed CSV files that do not unpack to their end, each read through by one task."""
+    files = _csv_files(spark, paths, "*.csv.gz")
+
+    def check(batches):
+        for batch in batches:
+            for path in batch.column("source_file").to_pylist():
+                try:
+                    fs, name = pafs.FileSystem.from_uri(path)
+                    with fs.open_input_stream(name, compression="gzip") as f:
+                        while f.read(1 << 20):
+                            pass
+                except OSError as e:
+                    yield pa.RecordBatch.from_pylist([{"source_file": path, "error": str(e)[:200]}])
+
+    return files.mapInArrow(check, "source_file string, error string")
 
 
 def csv_by_header(spark: SparkSession, paths: list[str] | str, required: list[str]) -> list[DataFrame]:
     """One frame of string columns (and ``source_file``) per distinct header of the CSV files.
 
-    The header of a file is its line that names all ``required`` columns.  Only
-    the distinct headers reach the driver; files are matched to theirs by a
-    join, so files whose columns stand in another order are read by their own.
+    The header of a file is its first line that names all ``required`` columns.
+    Files of one header are read together by the CSV source, with quotes, doubled
+    quotes and line breaks inside quotes; rows before the header (and the header
+    itself) are left out by its place, not by its value.  The lists of files, which
+    the scan needs anyway, and the distinct headers are all that reaches the
+    driver.  Damaged files are left out whole (``skipped_files`` names them).
     """
-    lines = _csv_lines(spark, paths)
-    named = F.forall(F.array(*(F.lit(c) for c in required)), lambda c: F.array_contains(_fields(F.col("value")), c))
-    heads = lines.filter(named).distinct()
+    heads = _headers(spark, _sound_files(spark, paths), required).filter(F.col("names").isNotNull())
     out = []
-    for head in sorted(r["value"] for r in heads.select("value").distinct().collect()):
-        files = heads.filter(F.col("value") == head).select("source_file").distinct()
-        names = [x.strip(' "') for x in head.split(",")]
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        rows = lines.join(files, "source_file", "left_semi").filter((F.col("value") != head) & (F.trim("value") != ""))
-        out.append(rows.select("source_file", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("_r")).select("source_file", "_r.*"))
+    for r in heads.groupBy("names").agg(F.sort_array(F.collect_list("source_file")).alias("files")).orderBy("names").collect():
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in r["names"])
+        raw = (spark.read.schema(schema).option("header", "false").option("multiLine", "true").option("quote", '"').option("escape", '"')
+               .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").option("mode", "PERMISSIVE")
+               .csv([readable_path(f) for f in r["files"]]))
+        rows = raw.select(F.col("_metadata.file_path").alias("source_file"), *[F.col(f"`{n.replace('`', '``')}`") for n in r["names"]])
+        # the first row of a file that is its header; a whole file is one task, so that rows keep their order
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        is_head = F.forall(F.array(*[F.coalesce(F.btrim(F.regexp_replace(f"`{n.replace('`', '``')}`", "^\ufeff", "")) == F.lit(n), F.lit(n == "")) for n in r["names"]]), lambda x: x)
+        at = rows.filter(is_head).groupBy(F.col("source_file").alias("_file")).agg(F.min("_row").alias("_head"))
+        out.append(rows.join(at, F.col("source_file") == F.col("_file")).filter(F.col("_row") > F.col("_head")).drop("_file", "_head", "_row"))
     return out
 
 
 def skipped_files(spark: SparkSession, paths: list[str] | str, required: list[str]) -> DataFrame:
-    """``source_file`` of every CSV file that ``csv_by_header`` leaves out."""
-    lines = _csv_lines(spark, paths)
-    named = F.forall(F.array(*(F.lit(c) for c in required)), lambda c: F.array_contains(_fields(F.col("value")), c))
-    return lines.groupBy("source_file").agg(F.max(named.cast("int")).alias("n")).filter("n = 0").select("source_file")
+    """(source_file, error) of every CSV file that ``csv_by_header`` leaves out: damaged, or without such a header."""
+    bare = _headers(spark, _sound_files(spark, paths), required).filter(F.col("names").isNull())
+    return damaged_files(spark, paths).unionByName(bare.select("source_file", F.lit("no header").alias("error")))
 
 
 # ---------------------------------------------------------------------------
