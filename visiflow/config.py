@@ -132,6 +132,7 @@ PIPELINE_A_WEATHER = {
 }
 FORECAST_STEP_MIN = 15
 UPDATE_SECONDS = 60
+RETRY_SECONDS = 10          # wait after a failed update cycle
 FORECAST_HOURS = 24
 
 # Seasons by month (documented-only feature).
