@@ -106,31 +106,36 @@ def union_feeds_q(spark, sf_dir):
 
 
 def _two_feeds(spark, sf_dir):
-    b = bin_mean(readings_from_events(spark, sf_dir)).select("ts", "zone", "rvr")
-    left = b.filter(F.col("zone") == "click").select("ts", "rvr")
-    right = b.filter(F.col("zone") == "view").select("ts", "rvr")
-    return left, right
+    """10-minute bins of every zone from two halves of the feed (even and odd user ids)."""
+    e = table(spark, sf_dir, "events")
+    half = lambda k: bin_mean(e.filter(F.col("user_id") % 2 == k).select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("zone"), (F.col("value") * 10.0).alias("rvr"))).select("ts", "zone", "rvr")
+    return half(0), half(1)
 
 
-ASOF_NEAREST_SQL = with_(BINS) + """,
-l AS (SELECT ts, rvr FROM bins WHERE zone = 'click'),
-r AS (SELECT ts, rvr FROM bins WHERE zone = 'view'),
+ASOF_NEAREST_SQL = """
+WITH half AS (
+  SELECT user_id % 2 AS k, event_type AS zone, time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) AS ts, avg(value * 10.0) AS rvr
+  FROM events GROUP BY 1, 2, 3
+),
+l AS (SELECT * FROM half WHERE k = 0),
+r AS (SELECT * FROM half WHERE k = 1),
 c AS (
-  SELECT l.ts, r.ts AS rts, r.rvr AS rrvr,
-         row_number() OVER (PARTITION BY l.ts ORDER BY abs(epoch_us(r.ts) - epoch_us(l.ts)), r.ts) AS rn
-  FROM l JOIN r ON r.ts BETWEEN l.ts - INTERVAL 30 MINUTE AND l.ts + INTERVAL 30 MINUTE
+  SELECT l.zone, l.ts, r.ts AS rts, r.rvr AS rrvr,
+         row_number() OVER (PARTITION BY l.zone, l.ts ORDER BY abs(epoch_us(r.ts) - epoch_us(l.ts)), r.ts) AS rn
+  FROM l JOIN r ON l.zone = r.zone AND r.ts BETWEEN l.ts - INTERVAL 30 MINUTE AND l.ts + INTERVAL 30 MINUTE
 )
-SELECT l.ts, round(l.rvr, 4) AS rvr, c.rts AS right_ts, round(c.rrvr, 4) AS right_rvr
-FROM l LEFT JOIN c ON l.ts = c.ts AND c.rn = 1
+SELECT l.zone, l.ts, round(l.rvr, 4) AS rvr, c.rts AS right_ts, round(c.rrvr, 4) AS right_rvr
+FROM l LEFT JOIN c ON l.zone = c.zone AND l.ts = c.ts AND c.rn = 1
 """
 
 
 @register("asof_nearest_30m", ASOF_NEAREST_SQL)
 def asof_nearest_30m(spark, sf_dir):
-    """Nearest as-of join within 30 minutes, no key; equal distance -> earlier right row."""
+    """Nearest as-of join within 30 minutes over the bins of every zone; equal distance -> earlier right row."""
     left, right = _two_feeds(spark, sf_dir)
-    j = asof_join(left, right, "ts", tolerance_minutes=30, direction="nearest")
-    return j.select("ts", r4("rvr").alias("rvr"), "right_ts", r4("right_rvr").alias("right_rvr"))
+    j = asof_join(left, right, "ts", by=["zone"], tolerance_minutes=30, direction="nearest")
+    return j.select("zone", "ts", r4("rvr").alias("rvr"), "right_ts", r4("right_rvr").alias("right_rvr"))
 
 
 @register("asof_backward", with_(READINGS) + """,
