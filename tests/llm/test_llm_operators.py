@@ -145,14 +145,14 @@ def test_quality_rules_counts_and_divergence(spark):
 
 @pytest.mark.parametrize("shared_id", [None, 7])
 def test_quality_rules_judge_every_row_by_its_own_text(spark, shared_id):
-    clean = [(2 * k + 101, prose(k + 50, 80)) for k in range(40)]
-    junk = " ".join(f"zz{k}qq" for k in range(400))
-    alone = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, clean + [(1, junk), (3, clean[0][1])])).collect()}
-    assert not alone[1].kept and alone[3].kept
-    rows = spark.createDataFrame([(i, t, "en", "s", 0, 7, "x", "y", 1, "z") for i, t in clean + [(shared_id, junk), (shared_id, clean[0][1]), (shared_id, clean[0][1])]], SCHEMA)
-    got = [r for r in quality_rules.judge(rows).collect() if r.doc_id == shared_id]
+    clean = [(2 * k + 101, prose(k + 50, 80, 4)) for k in range(40)]
+    junk, fine = " ".join(f"zz{k}qq" for k in range(400)), clean[0][1]
+    alone = {r.doc_id: r.word_distance for r in quality_rules.judge(docs_of(spark, clean + [(1, junk), (3, fine), (5, fine)])).collect()}
+    assert alone[1] > alone[3] + 0.05
+    rows = spark.createDataFrame([(i, t, "en", "s", 0, 7, "x", "y", 1, "z") for i, t in clean + [(shared_id, junk), (shared_id, fine), (shared_id, fine)]], SCHEMA)
+    got = [r for r in quality_rules.judge(rows, max_word_distance=(alone[1] + alone[3]) / 2).collect() if r.doc_id == shared_id]
     assert sorted((r.n_words, r.kept) for r in got) == [(80, True), (80, True), (400, False)]
-    assert {round(r.word_distance, 2) for r in got if not r.kept} == {round(alone[1].word_distance, 2)}
+    assert {(r.n_words, round(r.word_distance, 9)) for r in got} == {(80, round(alone[3], 9)), (400, round(alone[1], 9))}
 
 
 # -- decontamination --------------------------------------------------------------------------------------------------

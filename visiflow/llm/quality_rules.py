@@ -46,9 +46,10 @@ def text_counts(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", "lang", _row(), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", words_of(F.col("text")))
     df = df.withColumn("n_words", F.size("words").cast("long"))
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))      # each word is hashed once
     df = df.withColumn("grams", F.when(F.col("n_words") > WINDOW, F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - WINDOW + 1)),
-        lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+        lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
     repeats = F.size(F.array_distinct("grams")) < F.size("grams")
     df = df.withColumn("sorted", F.when(repeats, F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
                        .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
