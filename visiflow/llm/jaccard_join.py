@@ -152,13 +152,20 @@ def _bucket_edges(buckets: DataFrame, least: float) -> DataFrame:
 
 
 def path_edges(texts: DataFrame, runs: int, depth: int, bucket: int, least: float) -> DataFrame:
-    """Edges of all buckets; the recursion goes on while a bucket is too large."""
-    own = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("path", r * depth + 1, depth).alias("path")))
-    active = texts.select("id", "sketch", F.explode(own).alias("r")).select("id", "sketch", "r.run", "r.path").withColumn("at", F.element_at("path", 1))
+    """Edges of all buckets of ``texts`` (id, path, sketch); the recursion goes on while a bucket is too large.
+
+    Buckets are found on (id, run, at) alone; sketches and paths are fetched by
+    id for the members of buckets of two or more.
+    """
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.element_at("path", r * depth + 1).alias("at")))
+    active = texts.select("id", F.explode(first).alias("r")).select("id", "r.run", "r.at")
     parts = []
     for d in range(1, depth + 1):
         sizes = write_table(active.groupBy("at").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), f"buckets{d}")
-        ready = active.join((sizes if d == depth else sizes.filter(F.col("size") <= bucket)).hint("merge"), "at")
+        shared = write_table(active.join(sizes.hint("merge"), "at"), f"shared{d}")
+        drop_table(sizes)
+        ready = shared if d == depth else shared.filter(F.col("size") <= bucket)
+        ready = ready.join(texts.select("id", "sketch").hint("merge"), "id")
         if d == depth:  # what is still too large meets block by block
             n = F.ceil(F.col("size") / bucket).cast("int")
             own = F.pmod(F.xxhash64("id", "run"), n).cast("int")
@@ -169,10 +176,13 @@ def path_edges(texts: DataFrame, runs: int, depth: int, bucket: int, least: floa
             grouped = ready.groupBy("at")
         members = grouped.agg(F.collect_list(F.struct("id", "sketch")).alias("members")).filter(F.size("members") > 1)
         parts.append(write_table(_bucket_edges(members, least), f"edges{d}"))
-        large = sizes.filter(F.col("size") > bucket)
+        large = shared.filter(F.col("size") > bucket)
         if d == depth or large.isEmpty():
+            drop_table(shared)
             break
-        active = write_table(active.join(large.select("at"), "at", "left_semi").drop("at"), f"paths{d + 1}").withColumn("at", F.element_at("path", d + 1))
+        at = F.element_at("path", F.col("run") * depth + d + 1).alias("at")
+        active = write_table(large.select("id", "run").join(texts.select("id", "path").hint("merge"), "id").select("id", "run", at), f"paths{d + 1}")
+        drop_table(shared)
     edges = parts[0]
     for part in parts[1:]:
         edges = edges.unionByName(part)
@@ -189,9 +199,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = write_table(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        drop_table(stars)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         stars = write_table(small.select("e.*").filter("a <> b").distinct(), "small-star")
+        drop_table(large)
         n = stars.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("ids")).first()
         if n["n"] == n["ids"] and stars.select(F.col("b").alias("a")).join(stars, "a", "left_semi").isEmpty():
             return stars.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
@@ -288,12 +300,13 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     documents = (signed_texts.select("id", "k1", "k2").join(rows.select("id", "doc_id").hint("merge"), "id")
                  .groupBy("k1", "k2", "doc_id", own.alias("own")).agg(F.min("id").alias("id")))
     copies = write_table(documents.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
-    known = write_table(signed_texts.join(copies.hint("merge"), ["k1", "k2"]).select("id", "n_words", "rep", "copies", "path", "sketch"), "texts")
+    members = write_table(signed_texts.select("id", "k1", "k2", "n_words").join(copies.hint("merge"), ["k1", "k2"]).select("id", "n_words", "rep", "copies"), "members")
+    drop_table(copies)
+    # paths and sketches of one text a class
+    known = write_table(signed_texts.select("id", "path", "sketch").join(members.filter("id = rep").select("id").hint("merge"), "id", "left_semi"), "texts")
     drop_table(signed_texts)
-    members = write_table(known.select("id", "n_words", "rep", "copies"), "members")
-    edges = path_edges(known.filter("id = rep"), runs, depth, bucket, least)
-
-    groups = components(edges)
+    groups = components(path_edges(known, runs, depth, bucket, least))
+    drop_table(known)
     reps = members.filter("id = rep").select("id", "copies", "n_words")
     sized = groups.join(reps, "id").withColumnRenamed("root", "grp")
     blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n_words") / BLOCK), F.ceil(F.count(F.lit(1)) / TEXTS)).cast("int").alias("blocks"))
