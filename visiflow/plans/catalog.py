@@ -34,4 +34,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from visiflow.plans import (q_clean, q_windows, q_joins, q_state, q_metrics,  # noqa: F401
-                                q_models, q_scoring, q_timeline, q_stream, q_files, q_sinks)
+                                q_models, q_scoring, q_timeline, q_stream, q_files, q_sinks, q_pooled)

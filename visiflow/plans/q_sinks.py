@@ -123,6 +123,13 @@ weather AS (
 )"""
 
 
+def weather_of_bins(spark, sf_dir):
+    """Stand-in weather: the events' figures averaged per 10 minutes, four minutes off the bins."""
+    w = weather_from_events(spark, sf_dir)
+    per_bin = w.groupBy(floor_minutes("ts").alias("t")).agg(*(F.avg(m).alias(m) for m in ("temperature", "humidity", "wind_speed", "dew_point")))
+    return per_bin.withColumn("ts", F.timestamp_add("MINUTE", F.lit(4), F.col("t"))).drop("t")
+
+
 @register("pipeline_a_features", with_(CELLS) + WEATHER_10 + """,
 lagged AS (
   SELECT *, first(rvr) OVER (PARTITION BY zone ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_1,
@@ -150,9 +157,6 @@ FROM m LEFT JOIN weather ON weather.ts = m.wts WHERE lag_1 IS NOT NULL AND lag_2
 """)
 def pipeline_a_features_q(spark, sf_dir):
     """J2 + F1-F3 + W1 + W3 + W4: the second pipeline's feature table, windows as in the source system."""
-    w = weather_from_events(spark, sf_dir)
-    per_bin = w.groupBy(floor_minutes("ts").alias("t")).agg(*(F.avg(m).alias(m) for m in ("temperature", "humidity", "wind_speed", "dew_point")))
-    weather = per_bin.withColumn("ts", F.timestamp_add("MINUTE", F.lit(4), F.col("t"))).drop("t")
-    f = pipeline_a_features(_bins(spark, sf_dir), weather, include_current=True)
+    f = pipeline_a_features(_bins(spark, sf_dir), weather_of_bins(spark, sf_dir), include_current=True)
     whole = {"hour", "day_of_week", "month", "year", "day_of_year"}
     return f.select("zone", "ts", r4("y").alias("y"), *(F.col(c) if c in whole else r4(c).alias(c) for c in FEATURES))
