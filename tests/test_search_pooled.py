@@ -47,6 +47,21 @@ def test_search_scores_every_draw_as_its_own_fits_would(spark, made):
     assert len(draws) == 4 and best == draws[int(np.argmax(want))] and score == pytest.approx(max(want), abs=1e-9)
 
 
+def test_fits_of_the_search_read_rows_without_the_plan_that_made_them(spark, made, monkeypatch):
+    table, zones, feats, spec = made
+    seen, fit = [], T.Pipeline.fit
+
+    def watched(self, rows, *given):
+        seen.append((rows._jdf.queryExecution().optimizedPlan().toString(), self.getStages()[-1].getCacheNodeIds()))
+        return fit(self, rows, *given)
+
+    monkeypatch.setattr(T.Pipeline, "fit", watched)
+    T.search(table, {zones[0]: feats[zones[0]]}, GRID, 1, workers=3)
+    assert len(seen) == 3
+    for plan, cached in seen:
+        assert "LogicalRDD" in plan and "Window" not in plan and "InMemoryRelation" not in plan and "parquet" not in plan and not cached
+
+
 def test_the_whole_training_keeps_every_run(spark, made):
     table, zones, feats, spec = made
     log, best = T.train_all(spark, table, zones[:2], spec, tree_counts=(2, 4, 3), tune=True, grid=GRID, draws=4)
