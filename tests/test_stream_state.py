@@ -5,12 +5,14 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from visiflow.operators.windows import valid_lag_features
 from visiflow.streaming import jobs as J
+from visiflow.streaming import lag_state as L
 from visiflow.streaming.lag_state import merged, stream_lags, with_rocksdb
 from visiflow.streaming.supervise import observed, progress_rows, run_supervised
 
@@ -50,6 +52,94 @@ def test_merged_keeps_the_least_value_of_a_time():
     assert t.tolist() == [10, 20, 30] and x.tolist() == [1.0, 2.0, 2.5] and new.tolist() == [False, True, True]
 
 
+class Store:
+    """A zone's state in plain Python; ``most`` is the largest number of readings put in at once."""
+
+    def __init__(self):
+        self.values, self.timers, self.most = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return State(self, name)
+
+    getListState = getValueState
+
+    def getMapState(self, name, key, value):
+        return State(self, name)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+class State:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        return self.name in self.store.values
+
+    def get(self):
+        return self.store.values[self.name]
+
+    def update(self, value):
+        self.store.values[self.name] = value
+
+    def put(self, rows):
+        self.store.values[self.name], self.store.most = rows, max(self.store.most, len(rows))
+
+    def getValue(self, key):
+        return self.store.values[self.name, key]
+
+    def updateValue(self, key, value):
+        self.store.values[self.name, key], self.store.most = value, max(self.store.most, len(value[0]) // 16)
+
+    def removeKey(self, key):
+        del self.store.values[self.name, key]
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def keyed(batches, depth=4):
+    """Rows of every batch ([times in us], [values], watermark in ms), the longest frame sent out, and the store."""
+    made, store = L.LagProcessor(depth), Store()
+    made.init(store)
+    rows, longest = [], 0
+    for us, v, ms in batches:
+        parts = (pd.DataFrame({"ts_us": us[k:k + 50], "rvr": v[k:k + 50]}) for k in range(0, len(us), 50))
+        sent = list(made.handleInputRows(("a",), parts, Watermark(ms)) if len(us) else made.handleExpiredTimer(("a",), Watermark(ms), None))
+        longest = max([longest, *map(len, sent)])
+        rows.append(sorted(tuple(r) for f in sent for r in f.fillna(-1.0).itertuples(index=False)))
+    return rows, longest, store
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_zone_of_any_size_is_kept_and_sent_out_block_by_block(monkeypatch, seed):
+    rng, batches = np.random.default_rng(seed), []
+    for k in range(6):
+        us = rng.integers(max(0, k * 400 - 800), k * 400 + 1500, 900) * 1000      # repeats, and readings of all ages
+        batches.append((us, rng.integers(1, 50, 900).astype(float), max(0, k * 400 - 100)))
+    batches.append(([], [], 10_000))                                # the timer
+    want, _, whole = keyed(batches)
+    monkeypatch.setattr(L, "RUN", 200, raising=False)
+    monkeypatch.setattr(L, "BLOCK", 16, raising=False)
+    got, longest, store = keyed(batches)
+    assert got == want and store.timers == whole.timers == set() and store.values["final"] == whole.values["final"]
+    assert any(r[-1] for r in got[-2]) and len(got[0]) == len({u for u in batches[0][0].tolist()})
+    # held blocks and a block a run at most, or a part of the input; never the whole batch or the whole state
+    assert store.most <= 16 and longest <= 150
+
+
 def test_keyed_state_corrects_the_rows_after_late_readings(spark, tmp_path):
     rng = random.Random(2)
     rows = [(at(m), z, float(rng.choice([0, 3333, 100 + m, 200 + m]))) for m in range(0, 240, 3) for z in ("a", "b")]
